@@ -65,8 +65,12 @@ def cluster_by_group(df: DataFrame, cluster: str = "cluster", group: str = "grou
 
 
 def _values(df: DataFrame, column: str) -> Column:
-    """Distinct values of a label column as one array; labels are few."""
-    return df.agg(F.array_sort(F.collect_set(q(column))).alias("v")).scalar()
+    """Distinct labels of a counted table as one array; labels are few.
+
+    Reading the counts too keeps the aggregate the same as the main plan's, so
+    that its shuffle is reused instead of running twice.
+    """
+    return df.agg(F.array_sort(F.collect_set(F.when(q("n") > 0, q(column)))).alias("v")).scalar()
 
 
 def cluster_group_grid(df: DataFrame, cluster: str = "cluster", group: str = "group") -> DataFrame:

@@ -70,7 +70,7 @@ def main(argv: list[str]) -> int:
         argv = argv[:at] + argv[at + 2 :]
     sf_dir = f"/root/testdata/sf{sf}"
     spark = local_session()
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     con = connect(sf_dir)
     sqls, bad = oracle_sql(), 0
     for name, fn in queries().items():
