@@ -110,3 +110,183 @@ def sample_correlation(
     corr_y = _pearson(moment("fy", "f", "y"), vf, moment("yy", "y", "y"))
     found = sums.filter(c("w") > LEAST_PAIRS).select("feature", *_impact(corr_x, corr_y))
     return found.filter("x_correlation is not null and y_correlation is not null")
+
+
+#: Size of the forests and the width above which a first, small
+#: forest chooses the features.
+TREES, FIRST_TREES, FIRST_DEPTH, WIDE = 100, 20, 10, 50
+TOP = 10
+
+
+def _forest(df: DataFrame, dep: str, names: Sequence[str], trees: int, depth: int, seed: int):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import RandomForestRegressor
+
+    rows = VectorAssembler(inputCols=list(names), outputCol="_vector").transform(df).select(
+        "_vector", q(dep).cast("double").alias("_y")
+    )
+    forest = RandomForestRegressor(
+        featuresCol="_vector", labelCol="_y", numTrees=trees, maxDepth=depth,
+        featureSubsetStrategy="all", seed=seed,
+    )
+    return forest.fit(rows), rows
+
+
+def split_rows(
+    df: DataFrame, key: Sequence[str], test_share: float = 0.2, seed: int = 42
+) -> tuple[DataFrame, DataFrame]:
+    """Train and test rows by a hash of the key: the same for any partitioning."""
+    from ..functions.columns import draw_order
+
+    draw = F.conv(F.substring(draw_order(key, seed), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    marked = df.withColumn("_draw", draw)
+    return (
+        marked.filter(F.col("_draw") >= test_share).drop("_draw"),
+        marked.filter(F.col("_draw") < test_share).drop("_draw"),
+    )
+
+
+def feature_importance(
+    df: DataFrame,
+    dep: str,
+    indep: str,
+    key: Sequence[str],
+    *,
+    trees: int = TREES,
+    depth: int = 15,
+    top: int | None = TOP,
+    seed: int = 42,
+) -> tuple[DataFrame, float]:
+    """M9: forest importance of the other columns for ``dep``; r² on held-out rows.
+
+    ``indep`` (the other coordinate) and the key take no part. The table is
+    ascending and holds the ``top`` features.
+    """
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.feature import VectorAssembler
+
+    from .scaling import rescale_importance
+
+    names = [c for c in df.columns if c not in (dep, indep, *key)]
+    train, test = split_rows(df, key, seed=seed)
+    train.persist()
+    try:
+        model, _ = _forest(train, dep, names, trees, depth, seed)
+    finally:
+        train.unpersist()
+    held = VectorAssembler(inputCols=names, outputCol="_vector").transform(test)
+    scored = model.transform(held.select("_vector", q(dep).cast("double").alias("_y")))
+    r2 = RegressionEvaluator(labelCol="_y", predictionCol="prediction", metricName="r2").evaluate(scored)
+    pairs = [(n, float(v)) for n, v in zip(names, model.featureImportances.toArray())]
+    table = df.sparkSession.createDataFrame(pairs, "index1 string, importance double")
+    return top_importance(rescale_importance(table), top), r2
+
+
+def top_importance(table: DataFrame, top: int | None = TOP) -> DataFrame:
+    """The ``top`` features by share, listed in ascending order."""
+    ranked = table.orderBy(F.desc("percentage_importance"), "index1")
+    if top:
+        ranked = ranked.limit(top)
+    return ranked.orderBy("percentage_importance", F.desc("index1")).select(
+        "index1", "importance_normalized", "percentage_importance"
+    )
+
+
+def staged_importance(
+    df: DataFrame,
+    dep: str,
+    names: Sequence[str],
+    *,
+    wide: int = WIDE,
+    trees: int = TREES,
+    depth: int = 15,
+    seed: int = 42,
+) -> DataFrame:
+    """With more than ``wide`` features a small forest picks ``wide`` of
+    them for the full forest; the others get importance 0."""
+    from .scaling import rescale_importance
+
+    names = list(names)
+    chosen = names
+    rows = df.select(*[q(n) for n in names], q(dep)).persist()
+    try:
+        if len(names) > wide:
+            first, _ = _forest(rows, dep, names, FIRST_TREES, FIRST_DEPTH, seed)
+            order = first.featureImportances.toArray().argsort()[::-1][:wide]
+            chosen = [names[i] for i in sorted(order)]
+        model, _ = _forest(rows, dep, chosen, trees, depth, seed)
+    finally:
+        rows.unpersist()
+    found = dict(zip(chosen, (float(v) for v in model.featureImportances.toArray())))
+    pairs = [(n, found.get(n, 0.0)) for n in names]
+    table = df.sparkSession.createDataFrame(pairs, "index1 string, importance double")
+    return rescale_importance(table)
+
+
+def importance_of_coordinates(df: DataFrame, names: Sequence[str], **options) -> DataFrame:
+    """Importance for x and for y in one table."""
+    from .schema import stack_importance
+
+    return stack_importance(
+        staged_importance(df, "x", names, **options), staged_importance(df, "y", names, **options)
+    )
+
+
+def importance_input(
+    points: DataFrame,
+    features: DataFrame,
+    names: Sequence[str],
+    key: Sequence[str],
+    *,
+    sample: str = "sample_id",
+    cap: int | None = None,
+    total: int = 3000,
+) -> DataFrame:
+    """Features with coordinates, cleaned, capped per sample and in total.
+
+    Rows are cleaned before they are drawn (Q10), and features meet their own
+    coordinates by key (Q3). ``cap=0`` and ``total=0`` keep every row.
+    """
+    from .filters import finite_rows
+    from .ordering import adaptive_cap, cap_per_group, cap_total
+    from .scaling import clip_outliers
+
+    joined = lookup_features(points.select(*[q(k) for k in key], "x", "y"), features, key, "inner")
+    clean = finite_rows(joined, [*names, "x", "y"])
+    cap = adaptive_cap(len(names)) if cap is None else cap
+    drawn = cap_per_group(clean, [sample], key, cap)
+    if total:
+        drawn = cap_total(drawn, key, total)
+    return clip_outliers(drawn, names).select(*[q(k) for k in key], *[q(n) for n in names], "x", "y")
+
+
+def sample_components(
+    events: DataFrame, sheet_groups: DataFrame, features: Sequence[str], group: str = "group"
+) -> tuple[DataFrame, list[float]]:
+    """Two principal components of the standardised per-sample means.
+
+    Returns one row per sample with a group, and the explained variance shares.
+    The largest loading of a component is made positive.
+    """
+    import numpy as np
+    from pyspark.ml.feature import PCA, VectorAssembler
+
+    from .clusters import sample_means
+    from .filters import finite_rows, with_group
+    from .scaling import standardise
+
+    means = sample_means(events, features).join(sheet_groups, "sample_id")
+    clean = finite_rows(with_group(means, group), features)
+    scaled = standardise(clean, features)
+    rows = VectorAssembler(inputCols=list(features), outputCol="_vector").transform(scaled)
+    model = PCA(k=2, inputCol="_vector", outputCol="_pc").fit(rows)
+    loadings = model.pc.toArray()
+    sign = np.sign(loadings[np.abs(loadings).argmax(axis=0), [0, 1]])
+    value = []
+    for j in range(2):
+        total = F.lit(0.0)
+        for i, n in enumerate(features):
+            total = total + q(n) * float(loadings[i, j] * sign[j])
+        value.append(total.alias(f"pc{j + 1}"))
+    out = scaled.select("sample_id", q(group), *value)
+    return out, [float(v) for v in model.explainedVariance.toArray()]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import group_queries, shape_queries, source_queries  # noqa: F401
+from . import group_queries, model_queries, shape_queries, source_queries  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 
