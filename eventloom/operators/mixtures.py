@@ -1,25 +1,81 @@
-"""K-means, elbow and Gaussian mixtures."""
+"""K-means, elbow and Gaussian mixtures (M5-M7).
+
+All restarts (and, for the elbow, all numbers of clusters) advance together:
+one pass over the data serves every one of them, instead of one pass each.
+"""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pyarrow as pa
-from pyspark.ml.clustering import GaussianMixture, KMeans
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from ..functions.columns import q
+from .passes import point_table, spread_centres, starting_rows, summed
 
 COVARIANCES = ("full", "tied", "diag", "spherical")
 
 
-def _assembled(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return VectorAssembler(inputCols=list(columns), outputCol="_vector").transform(df)
+# ---- k-means ---------------------------------------------------------------
+
+
+def _assign(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    gaps = np.square(x).sum(axis=1)[:, None] - 2.0 * x @ centres.T + np.square(centres).sum(axis=1)
+    nearest = gaps.argmin(axis=1)
+    return nearest, np.maximum(gaps[np.arange(len(x)), nearest], 0.0)
+
+
+def _lloyd(
+    points: DataFrame, starts: list[np.ndarray], max_iter: int, tol: float
+) -> tuple[list[np.ndarray], list[float]]:
+    """Centres and costs of all ``starts``; each pass moves those still moving."""
+    dim = len(points.columns)
+    scale = sum(float(v or 0.0) for v in points.agg(*[F.var_pop(q(c)) for c in points.columns]).first()) / dim
+    centres, costs = list(starts), [math.inf] * len(starts)
+    active = list(range(len(starts)))
+    for step in range(max_iter + 1):
+        current = [(r, centres[r]) for r in active]
+        sizes = [1 + len(c) * (1 + dim) for _, c in current]
+
+        def add(x: np.ndarray) -> np.ndarray:
+            parts = []
+            for _, c in current:
+                nearest, cost = _assign(x, c)
+                counts = np.bincount(nearest, minlength=len(c))
+                sums = [np.bincount(nearest, x[:, i], minlength=len(c)) for i in range(dim)]
+                parts.append(np.concatenate([[cost.sum()], counts, *sums]))
+            return np.concatenate(parts)
+
+        total, at, still = summed(points, sum(sizes), add), 0, []
+        for (r, c), size in zip(current, sizes):
+            part, k = total[at : at + size], len(c)
+            at += size
+            costs[r] = float(part[0])
+            counts, sums = part[1 : 1 + k], part[1 + k :].reshape(dim, k).T
+            moved = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], c)
+            if step < max_iter and np.square(moved - c).sum() > tol * scale:
+                centres[r] = moved
+                still.append(r)
+        active = still
+        if not active:
+            break
+    return centres, costs
+
+
+def _nearest_label(centres: np.ndarray, columns: Sequence[str]) -> Column:
+    """Label expression with the centres as constants."""
+    gaps = []
+    for j, centre in enumerate(centres):
+        total = F.lit(0.0)
+        for c, m in zip(columns, centre):
+            gap = q(c).cast("double") - float(m)
+            total = total + gap * gap
+        gaps.append(F.struct(total.alias("d"), F.lit(j).alias("j")))
+    return F.array_min(F.array(*gaps))["j"] if len(gaps) > 1 else F.lit(0)
 
 
 def kmeans(
@@ -30,43 +86,52 @@ def kmeans(
     seed: int = 42,
     n_init: int = 10,
     max_iter: int = 100,
+    tol: float = 1e-4,
     name: str = "cluster",
 ) -> DataFrame:
     """M5: labels of the cheapest of ``n_init`` k-means runs."""
-    rows = _assembled(df, columns)
-    vectors = rows.select("_vector").persist(StorageLevel.MEMORY_AND_DISK)
+    points = point_table(df, columns).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        best = None
-        for start in range(n_init):
-            model = KMeans(k=k, seed=seed + start, maxIter=max_iter, featuresCol="_vector", predictionCol=name).fit(vectors)
-            if best is None or model.summary.trainingCost < best.summary.trainingCost:
-                best = model
+        rows = starting_rows(points, seed)
+        starts = [spread_centres(rows, k, seed + i) for i in range(n_init)]
+        centres, costs = _lloyd(points, starts, max_iter, tol)
     finally:
-        vectors.unpersist()
-    return best.transform(rows).drop("_vector")
+        points.unpersist()
+    return df.withColumn(name, _nearest_label(centres[int(np.argmin(costs))], columns))
 
 
 def elbow(
-    df: DataFrame, columns: Sequence[str] = ("x", "y"), ks: Sequence[int] = range(2, 21), seed: int = 42, n_init: int = 1
+    df: DataFrame,
+    columns: Sequence[str] = ("x", "y"),
+    ks: Sequence[int] = range(2, 21),
+    *,
+    seed: int = 42,
+    n_init: int = 10,
+    max_iter: int = 100,
+    tol: float = 1e-4,
 ) -> DataFrame:
     """M6: within-cluster sum of squares for each number of clusters."""
-    vectors = _assembled(df, columns).select("_vector").persist(StorageLevel.MEMORY_AND_DISK)
+    points = point_table(df, columns).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        costs = []
-        for k in ks:
-            runs = [KMeans(k=k, seed=seed + i, featuresCol="_vector").fit(vectors) for i in range(n_init)]
-            costs.append((int(k), float(min(m.summary.trainingCost for m in runs))))
+        rows = starting_rows(points, seed)
+        plan = [(k, i) for k in ks for i in range(n_init)]
+        _, costs = _lloyd(points, [spread_centres(rows, k, seed + i) for k, i in plan], max_iter, tol)
     finally:
-        vectors.unpersist()
-    return df.sparkSession.createDataFrame(costs, "k int, inertia double")
+        points.unpersist()
+    best = {k: min(c for (kk, _), c in zip(plan, costs) if kk == k) for k in ks}
+    return df.sparkSession.createDataFrame(
+        [(int(k), float(c)) for k, c in best.items()], "k int, inertia double"
+    )
+
+
+# ---- Gaussian mixtures -----------------------------------------------------
 
 
-class _Mixture:
-    """Parameters of one restart and the densities they imply."""
+class Mixture:
+    """Weights, means and covariances of one restart."""
 
     def __init__(self, weights: np.ndarray, means: np.ndarray, covs: np.ndarray):
         self.weights, self.means, self.covs = weights, means, covs
-        self.score = -np.inf
 
     def log_joint(self, x: np.ndarray) -> np.ndarray:
         """log(weight * density) of every row and component."""
@@ -75,118 +140,103 @@ class _Mixture:
         for j, (w, mu, cov) in enumerate(zip(self.weights, self.means, self.covs)):
             low = np.linalg.cholesky(cov)
             z = np.linalg.solve(low, (x - mu).T)
-            log_det = 2.0 * np.log(np.diag(low)).sum()
-            out[:, j] = math.log(max(w, 1e-300)) - 0.5 * (
-                dim * math.log(2 * math.pi) + log_det + np.square(z).sum(axis=0)
-            )
+            spread = 2.0 * np.log(np.diag(low)).sum() + dim * math.log(2 * math.pi)
+            out[:, j] = math.log(max(w, 1e-300)) - 0.5 * (spread + np.square(z).sum(axis=0))
         return out
 
-
-def _log_sum(a: np.ndarray) -> np.ndarray:
-    top = a.max(axis=1, keepdims=True)
-    return (top + np.log(np.exp(a - top).sum(axis=1, keepdims=True)))[:, 0]
-
-
-def _batch_matrix(batch: pa.RecordBatch) -> np.ndarray:
-    return np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype("f8")
-
-
-def _expectation_sums(points: DataFrame, models: Sequence[_Mixture]) -> dict:
-    """One pass: weight, first and second moments per restart and component.
-
-    Each task adds up its own rows; what is collected is restarts x components
-    x (1 + dim + dim^2) numbers, whatever the number of rows.
-    """
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], list] = {}
-        scores = [0.0] * len(models)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _batch_matrix(batch)
-            for r, model in enumerate(models):
-                joint = model.log_joint(x)
-                total = _log_sum(joint)
-                scores[r] += float(total.sum())
-                resp = np.exp(joint - total[:, None])
-                for j in range(resp.shape[1]):
-                    weighted = resp[:, j : j + 1] * x
-                    entry = held.setdefault((r, j), [0.0, np.zeros(x.shape[1]), np.zeros((x.shape[1],) * 2)])
-                    entry[0] += resp[:, j].sum()
-                    entry[1] += weighted.sum(axis=0)
-                    entry[2] += weighted.T @ x
-        rows = [(r, j, 0, v[0]) for (r, j), v in held.items()]
-        for (r, j), v in held.items():
-            rows += [(r, j, 1 + i, float(s)) for i, s in enumerate(np.concatenate([v[1], v[2].ravel()]))]
-        if held:
-            rows += [(r, -1, 0, s) for r, s in enumerate(scores)]
-        columns = list(zip(*rows)) or [[], [], [], []]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.float64())],
-            ["r", "j", "i", "v"],
-        )
-
-    parts = points.mapInArrow(sums, "r int, j int, i int, v double")
-    total = parts.groupBy("r", "j", "i").agg(F.sum("v").alias("v"))
-    return {(t["r"], t["j"], t["i"]): t["v"] for t in total.collect()}
+    def moments(self, x: np.ndarray) -> np.ndarray:
+        """Log likelihood, then mass, first and second moments per component."""
+        joint = self.log_joint(x)
+        top = joint.max(axis=1, keepdims=True)
+        total = top[:, 0] + np.log(np.exp(joint - top).sum(axis=1))
+        share = np.exp(joint - total[:, None])
+        second = np.einsum("nk,ni,nj->kij", share, x, x, optimize=True)
+        return np.concatenate([[total.sum()], share.sum(axis=0), (share.T @ x).ravel(), second.ravel()])
 
 
-def _maximise(sums: dict, r: int, k: int, dim: int, n: float, kind: str, floor: float) -> _Mixture:
-    """New parameters of restart ``r`` from its sums."""
-    mass = np.array([sums[r, j, 0] for j in range(k)]) + 1e-10
-    first = np.array([[sums[r, j, 1 + i] for i in range(dim)] for j in range(k)])
-    second = np.array(
-        [[sums[r, j, 1 + dim + i] for i in range(dim * dim)] for j in range(k)]
-    ).reshape(k, dim, dim)
+def _maximise(sums: np.ndarray, k: int, dim: int, n: float, kind: str, floor: float) -> Mixture:
+    mass = sums[1 : 1 + k] + 1e-10
+    first = sums[1 + k : 1 + k + k * dim].reshape(k, dim)
+    second = sums[1 + k + k * dim :].reshape(k, dim, dim)
     means = first / mass[:, None]
     covs = second / mass[:, None, None] - means[:, :, None] * means[:, None, :]
+    eye = np.eye(dim)
     if kind == "tied":
         covs = np.repeat(((mass[:, None, None] * covs).sum(axis=0) / mass.sum())[None], k, axis=0)
     elif kind == "diag":
-        covs = covs * np.eye(dim)
+        covs = covs * eye
     elif kind == "spherical":
-        covs = np.trace(covs, axis1=1, axis2=2)[:, None, None] / dim * np.eye(dim)
-    return _Mixture(mass / n, means, covs + floor * np.eye(dim))
+        covs = np.trace(covs, axis1=1, axis2=2)[:, None, None] / dim * eye
+    return Mixture(mass / n, means, covs + floor * eye)
 
 
 def fit_mixture(
     points: DataFrame, k: int, kind: str, seeds: Sequence[int], max_iter: int, tol: float
-) -> tuple[_Mixture, list[float]]:
-    """EM of all restarts at once: every pass over the data serves them all.
+) -> tuple[Mixture, list[float]]:
+    """EM of all restarts; the likeliest model and its mean log likelihoods.
 
-    Restarts begin at k-means centres. Returns the best model and its mean log
-    likelihood per pass.
+    Coordinates are centred in the tasks, so second moments do not cancel.
     """
     dim = len(points.columns)
-    vectors = _assembled(points, points.columns).select("_vector")
-    spread = points.agg(*[F.var_pop(q(c)) for c in points.columns]).first()
-    start = np.diag([max(float(v or 0.0), 1e-6) for v in spread]) / k
-    floor, n = 1e-6, float(points.count())
+    stats = points.agg(
+        *[F.avg(q(c)).alias(f"m{i}") for i, c in enumerate(points.columns)],
+        *[F.var_pop(q(c)).alias(f"v{i}") for i, c in enumerate(points.columns)],
+        F.count(F.lit(1)).alias("n"),
+    ).first()
+    centre = np.array([float(stats[f"m{i}"]) for i in range(dim)])
+    spread = np.array([max(float(stats[f"v{i}"] or 0.0), 1e-12) for i in range(dim)])
+    n, floor = float(stats["n"]), 1e-6
+    rows = starting_rows(points, seeds[0]) - centre
     models = []
     for seed in seeds:
-        centres = KMeans(k=k, seed=seed, maxIter=5, featuresCol="_vector").fit(vectors).clusterCenters()
-        means = np.array([np.asarray(c, dtype=float) for c in centres])
-        models.append(_Mixture(np.full(len(means), 1.0 / len(means)), means, np.repeat(start[None], len(means), 0)))
+        means = spread_centres(rows, k, seed)
+        # A few Lloyd steps on the drawn rows settle the starting centres.
+        for _ in range(10):
+            nearest, _gap = _assign(rows, means)
+            means = np.array([rows[nearest == j].mean(axis=0) if (nearest == j).any() else m for j, m in enumerate(means)])
+        covs = np.repeat(np.diag(spread / len(means))[None], len(means), axis=0)
+        models.append(Mixture(np.full(len(means), 1.0 / len(means)), means, covs))
+    k = len(models[0].weights)
+    size = 1 + k * (1 + dim + dim * dim)
     history: list[list[float]] = [[] for _ in models]
+    active, done = list(range(len(models))), list(models)
     for _ in range(max_iter):
-        sums = _expectation_sums(points, models)
-        moved = False
-        for r, model in enumerate(models):
-            score = sums[r, -1, 0] / n
-            moved |= not history[r] or abs(score - history[r][-1]) > tol
+        current = [models[r] for r in active]
+        total = summed(
+            points, size * len(current), lambda x: np.concatenate([m.moments(x - centre) for m in current])
+        )
+        still = []
+        for at, r in enumerate(active):
+            sums = total[at * size : (at + 1) * size]
+            score = float(sums[0]) / n
+            moving = not history[r] or abs(score - history[r][-1]) > tol
             history[r].append(score)
-            model.score = score
-        best = max(range(len(models)), key=lambda r: models[r].score)
-        if not moved:
+            done[r] = models[r]
+            if moving:
+                models[r] = _maximise(sums, k, dim, n, kind, floor)
+                still.append(r)
+        active = still
+        if not active:
             break
-        kept = models
-        models = [
-            _maximise(sums, r, len(m.weights), dim, n, kind, floor) for r, m in enumerate(kept)
-        ]
-        for new, old in zip(models, kept):
-            new.score = old.score
-    return models[best], history[best]
+    best = max(range(len(models)), key=lambda r: history[r][-1])
+    chosen = done[best]
+    return Mixture(chosen.weights, chosen.means + centre, chosen.covs), history[best]
+
+
+def _likeliest_label(model: Mixture, columns: Sequence[str]) -> Column:
+    """Label expression with the fitted parameters as constants."""
+    scores = []
+    for j, (w, mu, cov) in enumerate(zip(model.weights, model.means, model.covs)):
+        precision = np.linalg.inv(cov)
+        constant = math.log(max(float(w), 1e-300)) - 0.5 * float(np.linalg.slogdet(cov)[1])
+        gaps = [q(c).cast("double") - float(m) for c, m in zip(columns, mu)]
+        form = F.lit(0.0)
+        for a, left in enumerate(gaps):
+            for b, right in enumerate(gaps):
+                if precision[a, b]:
+                    form = form + left * right * float(precision[a, b])
+        scores.append(F.struct((F.lit(constant) - 0.5 * form).alias("s"), F.lit(-j).alias("j")))
+    return -F.array_max(F.array(*scores))["j"] if len(scores) > 1 else F.lit(0)
 
 
 def gaussian_mixture(
@@ -201,49 +251,12 @@ def gaussian_mixture(
     tol: float = 1e-3,
     name: str = "cluster",
 ) -> DataFrame:
-    """M7: labels of the likeliest of ``n_init`` mixtures.
-
-    ``full`` is Spark ML's mixture; the restricted covariances, which it does
-    not offer, are fitted by :func:`fit_mixture`.
-    """
+    """M7: labels of the likeliest of ``n_init`` mixtures."""
     if covariance not in COVARIANCES:
         raise ValueError(f"Unknown covariance type: {covariance}")
-    if covariance == "full":
-        rows = _assembled(df, columns)
-        vectors = rows.select("_vector").persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            best = None
-            for start in range(n_init):
-                model = GaussianMixture(
-                    k=k, seed=seed + start, maxIter=max_iter, tol=tol, featuresCol="_vector",
-                    predictionCol=name, probabilityCol="_p",
-                ).fit(vectors)
-                if best is None or model.summary.logLikelihood > best.summary.logLikelihood:
-                    best = model
-        finally:
-            vectors.unpersist()
-        return best.transform(rows).drop("_vector", "_p")
-    points = df.select(*[q(c).cast("double").alias(c) for c in columns]).persist(
-        StorageLevel.MEMORY_AND_DISK
-    )
+    points = point_table(df, columns).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         model, _ = fit_mixture(points, k, covariance, range(seed, seed + n_init), max_iter, tol)
     finally:
         points.unpersist()
-    return df.withColumn(name, _most_likely(model, columns))
-
-
-def _most_likely(model: _Mixture, columns: Sequence[str]):
-    """Label expression with the fitted parameters as constants."""
-    scores = []
-    for j, (w, mu, cov) in enumerate(zip(model.weights, model.means, model.covs)):
-        precision = np.linalg.inv(cov)
-        constant = math.log(max(float(w), 1e-300)) - 0.5 * float(np.linalg.slogdet(cov)[1])
-        gaps = [q(c).cast("double") - float(m) for c, m in zip(columns, mu)]
-        quad = F.lit(0.0)
-        for a in range(len(gaps)):
-            for b in range(len(gaps)):
-                if precision[a, b]:
-                    quad = quad + gaps[a] * gaps[b] * float(precision[a, b])
-        scores.append(F.struct((F.lit(constant) - 0.5 * quad).alias("s"), F.lit(-j).alias("j")))
-    return (-F.array_max(F.array(*scores))["j"]).cast("int")
+    return df.withColumn(name, _likeliest_label(model, columns))

@@ -45,25 +45,25 @@ def _counted(df, *by):
 
 @query("M5_kmeans")
 def m5(spark, d):
-    labelled = mixtures.kmeans(cells(spark, d).select(*KEY, "x", "y"), 10, n_init=3, max_iter=20)
+    labelled = mixtures.kmeans(cells(spark, d).select(*KEY, "x", "y"), 10)
     return _counted(labelled, "cluster")
 
 
 @query("M6_elbow")
 def m6(spark, d):
-    return mixtures.elbow(cells(spark, d).select("x", "y"), ks=range(2, 21))
+    return mixtures.elbow(cells(spark, d).select("x", "y"), n_init=2)
 
 
 @query("M7_mixture_full")
 def m7(spark, d):
     points = cells(spark, d).select(*KEY, "x", "y")
-    return _counted(mixtures.gaussian_mixture(points, 4, n_init=2, max_iter=20), "cluster")
+    return _counted(mixtures.gaussian_mixture(points, 4), "cluster")
 
 
 def _restricted(kind):
     def run(spark, d):
         points = cells(spark, d).select(*KEY, "x", "y")
-        found = mixtures.gaussian_mixture(points, 4, covariance=kind, n_init=3, max_iter=15)
+        found = mixtures.gaussian_mixture(points, 4, covariance=kind)
         return _counted(found, "cluster")
 
     return run

@@ -87,7 +87,12 @@ def pin(df: DataFrame, label: str) -> DataFrame:
     gives Catalyst real sizes for its join choice. It also fixes row positions
     where a later pass depends on them.
     """
+    return pin_at(df, label)[0]
+
+
+def pin_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """:func:`pin`, with the path for :func:`drop_scratch`."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
