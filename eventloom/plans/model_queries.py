@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import q
-from ..operators import graph, importance, joins, mixtures, scaling
+from ..operators import density, embed, graph, importance, joins, mixtures
+from ..session import tune
 from .registry import query
 from .shape_queries import rounded
 from .tables import CELLS, DIRTY, FEATURES, KEY, SHEET, cells, dirty_cells, sheet, table
-from ..session import tune
 
 
 def vectors(spark, d):
@@ -132,3 +131,54 @@ def m12_shares(spark, d):
     groups = joins.sample_groups(events.select("sample_id").distinct(), sheet(spark, d))
     _, shares = importance.sample_components(events, groups, ["l_quantity", "l_discount"])
     return spark.createDataFrame([(round(shares[0], 6), round(shares[1], 6))], "pc1 double, pc2 double")
+
+
+# ---- embeddings and density clusters ---------------------------------------
+
+
+@query("M2_umap")
+def m2(spark, d):
+    return embed.umap_layout(vectors(spark, d), 15, 0.1, epochs=20)
+
+
+@query("M3_densmap")
+def m3(spark, d):
+    return embed.umap_layout(vectors(spark, d), 15, 0.1, dens_lambda=2.0, epochs=20)
+
+
+@query("M4_tsne")
+def m4(spark, d):
+    return embed.tsne_layout(vectors(spark, d), 30.0, epochs=20)
+
+
+@query("M8_hdbscan")
+def m8(spark, d):
+    points = cells(spark, d).select(*KEY, "x", "y")
+    return _counted(density.hdbscan(points, levels=8, orders=3), "cluster")
+
+
+@query(
+    "M13_prepared_features",
+    f"""with {DIRTY}, k as (select sample_id, cell_id, l_quantity, l_discount,
+      case when isinf(l_tax) then null else l_tax end l_tax from dirty where gate_r
+      qualify row_number() over (partition by sample_id order by md5(concat_ws('|', sample_id, cell_id, '42'))) <= 100)
+    select sample_id, cell_id, {", ".join(
+        f"round(({c} - avg({c}) over ()) / stddev_pop({c}) over (), 6) {c}" for c in ("l_quantity", "l_discount", "l_tax"))} from k""",
+)
+def m13(spark, d):
+    chosen = ["l_quantity", "l_discount", "l_tax"]
+    ready = embed.prepare_features(
+        dirty_cells(spark, d), chosen, key=KEY, population="gate_r", max_cells_per_sample=100
+    )
+    return rounded(ready, *chosen)
+
+
+@query("M13_embedding")
+def m13_embed(spark, d):
+    return embed.embed(cells(spark, d), FEATURES, "UMAP", key=KEY, n_neighbors=10, epochs=8)
+
+
+@query("M14_cluster_by_method")
+def m14(spark, d):
+    points = cells(spark, d).select(*KEY, "x", "y")
+    return _counted(density.cluster(points, "GMM", 5, covariance_type="diag", n_init=3), "cluster")
