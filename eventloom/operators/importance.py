@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import finite_or_null, q, quoted
+from ..session import pin
 from .joins import lookup_features
+from .ordering import spread
 
 #: Fixed value: more valid rows than this are needed for a correlation.
 LEAST_PAIRS = 10
@@ -169,7 +171,7 @@ def feature_importance(
 
     names = [c for c in df.columns if c not in (dep, indep, *key)]
     train, test = split_rows(df, key, seed=seed)
-    train.persist()
+    train = spread(train).persist()
     try:
         model, _ = _forest(train, dep, names, trees, depth, seed)
     finally:
@@ -208,7 +210,7 @@ def staged_importance(
 
     names = list(names)
     chosen = names
-    rows = df.select(*[q(n) for n in names], q(dep)).persist()
+    rows = spread(df.select(*[q(n) for n in names], q(dep))).persist()
     try:
         if len(names) > wide:
             first, _ = _forest(rows, dep, names, FIRST_TREES, FIRST_DEPTH, seed)
@@ -257,6 +259,8 @@ def importance_input(
     drawn = cap_per_group(clean, [sample], key, cap)
     if total:
         drawn = cap_total(drawn, key, total)
+    # The draw feeds both the limits and the clipping: it is made once.
+    drawn = pin(drawn, "drawn")
     return clip_outliers(drawn, names).select(*[q(k) for k in key], *[q(n) for n in names], "x", "y")
 
 

@@ -22,6 +22,20 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a small table one partition per core before work that is bound by
+    the processor.
+
+    Decided on Catalyst's size estimate, without running anything: a table that
+    fills the cores with input splits keeps its partitions and is not shuffled.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * split else df
+
+
 def _range_sorted(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
     # The arrival number splits runs of identical keys over several partitions.
     keyed = df.withColumn("_arrival", F.monotonically_increasing_id())

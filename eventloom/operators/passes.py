@@ -10,13 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import q
+from .ordering import first_n, spread
 
 
 def point_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The coordinates alone, as doubles, split at least once per core."""
-    points = df.select(*[q(c).cast("double").alias(c) for c in columns])
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return points.repartition(cores) if points.rdd.getNumPartitions() < cores else points
+    """The coordinates alone, as doubles."""
+    return spread(df.select(*[q(c).cast("double").alias(c) for c in columns]))
 
 
 def batch_matrix(batch: pa.RecordBatch) -> np.ndarray:
@@ -56,8 +55,6 @@ def starting_rows(points: DataFrame, seed: int) -> np.ndarray:
     The row number takes part in the order, so many copies of one point do not
     fill the draw.
     """
-    from .ordering import first_n
-
     order = F.xxhash64(*[q(c) for c in points.columns], F.monotonically_increasing_id(), F.lit(seed))
     drawn = first_n(points, [], order, START_ROWS)
     return np.array([tuple(r) for r in drawn.collect()], dtype=float).reshape(-1, len(points.columns))

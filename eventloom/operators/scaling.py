@@ -9,13 +9,13 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import finite_or_null, nan_to_null, q, quoted
-from .ordering import first_n, with_running_total
+from ..functions.columns import draw_order, finite_or_null, nan_to_null, q, quoted
+from .ordering import first_n, spread, with_running_total
 from .schema import chosen_columns
 
 _STAT = "_stat"
@@ -162,8 +162,6 @@ def quant_scaler(
     columns = chosen_columns(df, first, last, numeric_only=False)
     source = df
     if subsample:
-        from ..functions.columns import draw_order
-
         source = first_n(df, [], draw_order(keys, 0), subsample)
     # Bounded: columns x LANDMARKS numbers.
     found = {
@@ -171,27 +169,28 @@ def quant_scaler(
         for r in quantile_landmarks(source, columns).toLocalIterator()
     }
 
-    def rescale(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def rescale(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = list(batch.columns)
             for c in columns:
-                x = pdf[c].to_numpy(dtype=float)
+                at = batch.schema.get_field_index(c)
+                x = out[at].to_numpy(zero_copy_only=False).astype(float)
                 grid = found.get(c)
                 if grid is None:
-                    pdf[c] = np.full(len(x), np.nan)
+                    out[at] = pa.nulls(len(x), pa.float64())
                     continue
                 refs = np.linspace(0.0, 1.0, len(grid)) if len(grid) > 1 else np.zeros(1)
                 # Both directions, so that ties land in the middle of their range.
                 up = np.interp(x, grid, refs)
                 down = np.interp(-x, -grid[::-1], -refs[::-1])
-                pdf[c] = np.where(np.isnan(x), np.nan, 0.5 * (up - down))
-            yield pdf
+                out[at] = pa.array(0.5 * (up - down), mask=np.isnan(x))
+            yield pa.RecordBatch.from_arrays(out, names=batch.schema.names)
 
     types = [
         T.StructField(f.name, T.DoubleType() if f.name in set(columns) else f.dataType)
         for f in df.schema.fields
     ]
-    scaled = df.mapInPandas(rescale, T.StructType(types))
-    return scaled.select(*[nan_to_null(q(c)).alias(c) if c in columns else q(c) for c in df.columns])
+    return spread(df).mapInArrow(rescale, T.StructType(types))
 
 
 def clip_outliers(

@@ -33,8 +33,8 @@ def m1_cosine(spark, d):
 @query("M1_neighbours_2d")
 def m1_flat(spark, d):
     """Every cell's neighbours in the plane."""
-    points = graph.with_vector(cells(spark, d).select(F.col("cell_id").alias("id"), "x", "y"), ["x", "y"])
-    edges = graph.neighbour_edges(graph.nearest_neighbours(points, 5, orders=3, block=2048))
+    points = graph.with_vector(graph.numbered(cells(spark, d).select("x", "y"), "id"), ["x", "y"])
+    edges = graph.neighbour_edges(graph.nearest_neighbours(points, 5, orders=4))
     return edges.groupBy("rank").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("dist"), 4).alias("mean_dist"))
 
 
@@ -154,7 +154,7 @@ def m4(spark, d):
 @query("M8_hdbscan")
 def m8(spark, d):
     points = cells(spark, d).select(*KEY, "x", "y")
-    return _counted(density.hdbscan(points, levels=8, orders=3), "cluster")
+    return _counted(density.hdbscan(points, min_cluster_size=500, min_samples=5, levels=8, orders=3), "cluster")
 
 
 @query(

@@ -58,7 +58,7 @@ def test_blocked_graph_recall_and_copies(spark):
     x = rng.normal(size=(3000, 4))
     x[:1000] = 0.5  # a third of all points are copies
     df = spark.createDataFrame(pd.DataFrame({"id": np.arange(3000), "vec": list(x)})).repartition(3)
-    got = graph.nearest_neighbours(df, 5, orders=6, block=400).toPandas()
+    got = graph.nearest_neighbours(df, 5, orders=6, block=400, exact_below=1000).toPandas()
     assert len(got) == 3000 and got["pairs"].map(len).min() == 5
     have = {r.src: [p["d"] for p in r.pairs] for r in got.itertuples()}
     assert max(max(have[i]) for i in range(1000)) == 0.0
