@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,6 +46,31 @@ def local_session(cores: str = "8", memory: str = "8g", name: str = "eventloom")
     return builder.getOrCreate()
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once for each application.
+
+    A driver that found it on its own path would otherwise be the only process
+    that can import it; Python tasks on other machines would fail.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    with tempfile.TemporaryDirectory() as folder:  # the driver serves the file from its own copy
+        bundle = os.path.join(folder, f"{os.path.basename(home)}.zip")
+        with zipfile.ZipFile(bundle, "w") as out:
+            for path, _, names in sorted(os.walk(home)):
+                for name in sorted(names):
+                    if name.endswith(".py"):
+                        full = os.path.join(path, name)
+                        out.write(full, os.path.relpath(full, os.path.dirname(home)))
+        context.addPyFile(bundle)
+    _shipped.add(context.applicationId)
+
+
 _local_root: str | None = None
 
 
