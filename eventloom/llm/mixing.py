@@ -3,9 +3,11 @@
 Every document of a source should be copied target / size times. Whole copies
 are given out at once; the fractions left are paired, and words are moved from
 one fraction to the other at random until one of the two is 0 or 1. A move keeps
-the pair's expected words, so a source ends within one document of its target.
-Pairs meet inside buckets of bounded size; the one fraction that a bucket leaves
-goes up a tree of merged buckets, 64 at a time.
+the pair's sum of words, and the expected share of each. Pairs meet inside
+buckets of bounded size, largest documents first, so that the one fraction a
+bucket leaves is of a small document; it goes up a tree of merged buckets, 64 at
+a time. The last fraction of a source goes to the nearer of 0 and 1: the source
+ends within half of that one document of its target.
 """
 
 from __future__ import annotations
@@ -72,7 +74,7 @@ def _draws(keys: np.ndarray, salt: int) -> np.ndarray:
 
 def pivot(shares: np.ndarray, sizes: np.ndarray, draws: np.ndarray, last: bool) -> np.ndarray:
     """Round ``shares`` to 0 or 1, keeping the sum of share x size; the one share
-    that may be left stays as it is, or is rounded at random where ``last``."""
+    that may be left stays as it is, or goes to the nearer number where ``last``."""
     out = shares.copy()
     held = -1
     for i in range(len(out)):
@@ -97,7 +99,7 @@ def pivot(shares: np.ndarray, sizes: np.ndarray, draws: np.ndarray, last: bool)
         elif not 0.0 < out[held] < 1.0:
             held = -1
     if last and held >= 0:
-        out[held] = 1.0 if draws[held] < out[held] else 0.0
+        out[held] = 1.0 if out[held] >= 0.5 else 0.0
     return out
 
 
@@ -151,12 +153,13 @@ def mix(
         F.floor("times").cast("long").alias("whole"),
         (F.col("times") - F.floor("times")).alias("share"),
         F.pmod("key", F.lit(buckets)).alias("bucket"),
+        (-F.col("size")).alias("falling"),
     )
     done: list[DataFrame] = []
     level = 0
     while True:
         last = buckets == 1
-        step = by_group(table, ["source_no", "bucket"], ["key", "size"], _round_groups(level, last), table.schema)
+        step = by_group(table, ["source_no", "bucket"], ["falling", "key"], _round_groups(level, last), table.schema)
         step = pin(step, "rounded")
         if last:
             done.append(step)

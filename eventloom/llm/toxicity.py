@@ -4,8 +4,8 @@ Features are rates of the text alone: density of a lexicon (words and word
 beginnings that labelled toxic texts use far more often), the same near a
 second-person word or after undoing letter swaps, capitals, punctuation and
 obfuscated spellings. Labels come from a bounded sample of the labelled rows;
-rows whose id hash leaves remainder 2 are never learned from. Half of the
-sample finds the lexicon and fits the trees, the rest calibrates the margins.
+rows whose id hash leaves remainder 2 are never learned from. The sample finds the
+lexicon, two thirds of it fit the trees and the rest calibrates the margins.
 """
 
 from __future__ import annotations
@@ -155,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     rows = texts.join(F.broadcast(sample), texts["doc_id"] == sample["_id"])
     rows = rows.select(remainder(F.col("doc_id")).alias("part"), "toxic", F.coalesce("text", F.lit("")).alias("text"))
     rows = pin(rows, "labelled")
-    lexicon = learn_lexicon(rows.where("part < 2"))
+    lexicon = learn_lexicon(rows)
     table = rows.select("part", F.col("toxic").cast("double").alias("label"), features(F.col("text"), lexicon).alias("f"))
     table = pin(table, "features").select("part", "label", array_to_vector("f").alias("features"))
     seen = {(r["half"], r["label"]): r["n"] for r in table.groupBy((F.col("part") < 2).alias("half"), "label").agg(F.count(F.lit(1)).alias("n")).collect()}
