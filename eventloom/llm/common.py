@@ -19,6 +19,23 @@ WORD = r"[^\x20\x09-\x0D]+"
 ROW = "_row_"
 
 
+class Memo(dict):
+    """Remembers ``make(key)`` for the first ``most`` keys; later ones are made anew.
+
+    Frequent words come early, so a full memo still answers most lookups.
+    """
+
+    def __init__(self, make: Callable[[str], bytes], most: int):
+        super().__init__()
+        self._make, self._most = make, most
+
+    def __missing__(self, key: str) -> bytes:
+        value = self._make(key)
+        if len(self) < self._most:
+            self[key] = value
+        return value
+
+
 def word_count(text: Column) -> Column:
     """Number of words; a missing text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import q
 from ..session import pin
-from .common import ROW, by_group, column, group_starts, packed, unpacked
+from .common import ROW, Memo, by_group, column, group_starts, packed, unpacked
 
 MIN_MATCH = 5
 COVERAGE = 0.8
@@ -32,23 +32,22 @@ TOKEN = re.compile(r"[^\W_]+")
 BASE = 0x9E3779B97F4A7C15 | 1
 #: Bits of the filter that is sent to all tasks: 2 MB, whatever the benchmark's size.
 FILTER_BITS = 24
-#: Word hashes a worker remembers.
-_REMEMBER = 500_000
-_known: dict[str, int] = {}
+#: Pieces of text whose word hashes a worker remembers.
+REMEMBER = 400_000
+
+
+def _piece_hashes(piece: str) -> bytes:
+    digests = (xxhash.xxh64_digest(w.encode("utf-8", "surrogatepass")) for w in TOKEN.findall(piece))
+    return b"".join(digests)
+
+
+_known = Memo(_piece_hashes, REMEMBER)
 
 
 def word_hashes(text: str | None) -> np.ndarray:
     """A 64-bit hash for each lower-cased word of the text, in order."""
-    words = TOKEN.findall(text.lower()) if text else []
-    if len(_known) > _REMEMBER:
-        _known.clear()
-    out = []
-    for word in words:
-        value = _known.get(word)
-        if value is None:
-            value = _known[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        out.append(value)
-    return np.array(out, dtype="u8")
+    pieces = text.lower().split() if text else []
+    return np.frombuffer(b"".join(map(_known.__getitem__, pieces)), dtype="u8")
 
 
 def seed_hashes(words: np.ndarray, length: int) -> np.ndarray:

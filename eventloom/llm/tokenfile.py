@@ -33,7 +33,7 @@ CHUNK_IDS = 262_144
 LEVEL = 3
 END_ID = 2
 #: Pieces of text whose ids a worker remembers.
-_REMEMBER = 300_000
+REMEMBER = 600_000
 
 
 def pack_block(ids: np.ndarray, compressor: zstandard.ZstdCompressor) -> bytes:
@@ -67,10 +67,11 @@ def pack_chunk(ids: np.ndarray) -> bytes:
 
 
 class Encoder:
-    """Ids of texts, remembered for pieces between blanks.
+    """Ids of texts, remembered for the pieces between blanks and line ends.
 
-    The tokenizer splits before a blank that a non-blank follows, whatever stands
-    around it, so a text's ids are those of its pieces, cut at such blanks.
+    The tokenizer's own split always parts a text before a blank or line end that
+    something else than white space follows, whatever stands around it; so a
+    text's ids are those of the pieces cut there.
     """
 
     def __init__(self, path: str):
@@ -80,30 +81,50 @@ class Encoder:
         # A special token's name inside a text is ordinary text.
         self._model.encode_special_tokens = True
         self._known: dict[str, bytes] = {}
+        # Byte-level names of the blank and the line end.
+        self._begins = np.zeros(self._model.get_vocab_size(), dtype=bool)
+        for token, number in self._model.get_vocab().items():
+            self._begins[number] = token[0] in "\u0120\u010a"
 
     @staticmethod
     def pieces(text: str) -> list[str]:
-        raw = text.split(" ")
-        out = [raw[0]]
-        for part in raw[1:]:
-            if part and not part[0].isspace():
-                out.append(" " + part)
-            else:  # several blanks, or a blank before a line end, are one run
-                out[-1] += " " + part
+        out = [""]
+        for mark, line in zip(["", *["\n"] * text.count("\n")], text.split("\n")):
+            for part in line.split(" "):
+                if part and mark and not part[0].isspace():
+                    out.append(mark + part)
+                else:  # a run of white space is cut before its last character only
+                    out[-1] += mark + part
+                mark = " "
         return out
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def _encode(self, pieces: list[str]) -> list[bytes]:
+        """Ids of new pieces. Pieces of one word each are encoded as one text and
+        told apart by the token that begins with their blank or line end."""
+        plain = [p for p in pieces if p[:1] in (" ", "\n") and len(p) > 1 and p[1:].split() == [p[1:]]]
+        found = {}
+        if plain:
+            ids = np.array(self._model.encode("".join(plain), add_special_tokens=False).ids, dtype="<u4")
+            starts = np.flatnonzero(self._begins[ids])
+            if len(starts) == len(plain):
+                found = dict(zip(plain, (x.tobytes() for x in np.split(ids, starts[1:]))))
+        rest = [p for p in pieces if p not in found]
+        for piece, one in zip(rest, self._model.encode_batch(rest, add_special_tokens=False)):
+            found[piece] = np.array(one.ids, dtype="<u4").tobytes()
+        return [found[p] for p in pieces]
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         cut = [self.pieces(t) if t else [] for t in texts]
         known = self._known
         missing = list({p for pieces in cut for p in pieces if p not in known})
-        if len(known) + len(missing) > _REMEMBER:
-            known.clear()
-            missing = list({p for pieces in cut for p in pieces})
-        for a in range(0, len(missing), 4096):
-            block = missing[a : a + 4096]
-            for piece, found in zip(block, self._model.encode_batch_fast(block, add_special_tokens=False)):
-                known[piece] = np.array(found.ids, dtype="<u4").tobytes()
-        return [np.frombuffer(b"".join([known[p] for p in pieces]), dtype="<u4") for pieces in cut]
+        look = known
+        if missing:
+            fresh = dict(zip(missing, self._encode(missing)))
+            if len(known) + len(fresh) <= REMEMBER:
+                known.update(fresh)
+            else:  # full: frequent pieces came early, the others are encoded anew
+                look = {**fresh, **{p: known[p] for pieces in cut for p in pieces if p in known}}
+        return [np.frombuffer(b"".join(map(look.__getitem__, pieces)), dtype="<u4") for pieces in cut]
 
 
 _encoders: dict[str, Encoder] = {}

@@ -11,7 +11,7 @@ lexicon, two thirds of it fit the trees and the rest calibrates the margins.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import q
 from ..session import pin
+from .common import Memo
 
 THRESHOLD = 0.3
 #: Labelled rows that are learned from, at most, and lexicon entries of each kind.
@@ -44,8 +45,11 @@ BEGINNINGS = (4, 5, 6)
 
 _WORD = re.compile(r"[^\W\d_]+")
 _MASKED = re.compile(r"[^\W\d_]+[0-9@$!*#]+[^\W\d_]+")
-_SPACED = re.compile(r"(?<!\w)(?:[^\W\d_][.\-_ ]){3,}[^\W\d_](?!\w)")
-_CAPITALS = re.compile(r"[A-ZÀ-ÖØ-Þ]")
+_SPACED = re.compile(r"(?<!\w)(?:[^\W\d_][.\-_]){3,}[^\W\d_](?!\w)")
+#: Pieces of text whose numbers a worker remembers.
+REMEMBER = 300_000
+#: Words from a lexicon word to one that addresses the reader, at most.
+NEAR = 4
 
 FEATURES = (
     "words", "lexicon_share", "lexicon_count", "beginning_share", "beginning_count", "near_second_person",
@@ -59,38 +63,55 @@ class Lexicon(NamedTuple):
     beginnings: frozenset[str]
 
 
+def _numbers(lexicon: Lexicon) -> Callable[[str], bytes]:
+    """Counts for a piece of text without white space, as 16-bit numbers."""
+
+    def make(piece: str) -> bytes:
+        lower = piece.lower()
+        words = _WORD.findall(lower)
+        bad = sum(w in lexicon.words for w in words)
+        begun = sum(any(w[:k] in lexicon.beginnings for k in BEGINNINGS) for w in words)
+        masked = _MASKED.findall(lower) + _SPACED.findall(lower)
+        undone = sum(m.translate(LOOKALIKES) in lexicon.words for m in masked)
+        undone += sum(re.sub(r"[.\-_]", "", m) in lexicon.words for m in masked)
+        letters = sum(map(len, words))
+        digits = sum(map(str.isdigit, piece))
+        counts = (
+            len(words), bad, begun, sum(w in SECOND_PERSON for w in words), sum(map(str.isupper, piece)),
+            sum(len(w) > 2 and w.isupper() for w in _WORD.findall(piece)), piece.count("!"), piece.count("?"),
+            max(len(piece) - letters - digits, 0), digits, len(masked), undone, letters,
+        )
+        return np.minimum(counts, 65_535).astype("<u2").tobytes()
+
+    return make
+
+
+_memos: dict[Lexicon, Memo] = {}
+
+
 def features_of(text: str | None, lexicon: Lexicon) -> list[float]:
     """The numbers of :data:`FEATURES`; all 0 for an empty text."""
     if not text:
         return [0.0] * len(FEATURES)
-    lower = text.lower()
-    words = _WORD.findall(lower)
-    counts = Counter(words)
-    n, size = max(len(words), 1), len(text)
-    bad = {w for w in counts if w in lexicon.words}
-    starts = {w for w in counts if any(w[:k] in lexicon.beginnings for k in BEGINNINGS)}
-    hits = sum(counts[w] for w in bad)
-    begun = sum(counts[w] for w in starts)
+    if lexicon not in _memos:
+        _memos.clear()
+        _memos[lexicon] = Memo(_numbers(lexicon), REMEMBER)
+    pieces = text.split()
+    rows = np.frombuffer(b"".join(map(_memos[lexicon].__getitem__, pieces)), dtype="<u2").reshape(-1, 13)
+    words, bad, begun, second, capitals, shouted, calls, asks, marks, digits, masked, undone, letters = (
+        rows.sum(axis=0, dtype="i8").tolist()
+    )
     near = 0
-    if bad or starts:
-        either = bad | starts
-        near = sum(
-            1 for i, w in enumerate(words) if w in either and not SECOND_PERSON.isdisjoint(words[max(0, i - 4) : i + 5])
-        )
-    masked = _MASKED.findall(lower)
-    undone = sum(1 for m in masked if m.translate(LOOKALIKES) in lexicon.words)
-    spaced = _SPACED.findall(lower) if "." in lower or "-" in lower else []
-    undone += sum(1 for m in spaced if re.sub(r"[^a-z]", "", m) in lexicon.words)
-    letters = sum(len(w) * c for w, c in counts.items())
-    shouted = sum(1 for w in _WORD.findall(text) if len(w) > 2 and w.isupper()) if _CAPITALS.search(text) else 0
-    capitals = len(_CAPITALS.findall(text))
-    digits = sum(text.count(d) for d in "0123456789")
-    marks = size - letters - digits - text.count(" ") - text.count("\n")
+    if second and (bad or begun):
+        reader = np.flatnonzero(rows[:, 3])
+        hits = np.flatnonzero(rows[:, 1] | rows[:, 2])
+        at = np.searchsorted(reader, hits - NEAR)
+        near = int((reader[np.minimum(at, len(reader) - 1)] <= hits + NEAR)[at < len(reader)].sum())
+    n, size = max(words, 1), len(text)
     return [
-        float(np.log1p(len(words))), hits / n, float(min(hits, 20)), begun / n, float(min(begun, 20)), near / n,
-        sum(counts[w] for w in SECOND_PERSON if w in counts) / n, capitals / size, shouted / n,
-        text.count("!") / size, text.count("?") / size, marks / size, digits / size,
-        (len(masked) + len(spaced)) / n, float(min(undone, 20)), 1.0 - len(counts) / n, letters / n,
+        float(np.log1p(words)), bad / n, float(min(bad, 20)), begun / n, float(min(begun, 20)), near / n, second / n,
+        capitals / size, shouted / n, calls / size, asks / size, marks / size, digits / size, masked / n,
+        float(min(undone, 20)), 1.0 - len(set(pieces)) / max(len(pieces), 1), letters / n,
     ]
 
 
