@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
@@ -59,15 +60,20 @@ def ship(spark: SparkSession) -> None:
     if context.applicationId in _shipped:
         return
     home = os.path.dirname(os.path.abspath(__file__))
-    with tempfile.TemporaryDirectory() as folder:  # the driver serves the file from its own copy
-        bundle = os.path.join(folder, f"{os.path.basename(home)}.zip")
-        with zipfile.ZipFile(bundle, "w") as out:
-            for path, _, names in sorted(os.walk(home)):
-                for name in sorted(names):
-                    if name.endswith(".py"):
-                        full = os.path.join(path, name)
-                        out.write(full, os.path.relpath(full, os.path.dirname(home)))
-        context.addPyFile(bundle)
+    bundle = io.BytesIO()
+    with zipfile.ZipFile(bundle, "w") as out:
+        for path, _, names in sorted(os.walk(home)):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(path, name)
+                    out.write(full, os.path.relpath(full, os.path.dirname(home)))
+    # Executors fetch it when their first task starts, so it stays where it is written.
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_path(spark, "package"), f"{os.path.basename(home)}.zip")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    stream = files.create(path)
+    stream.write(bytearray(bundle.getvalue()))
+    stream.close()
+    context.addPyFile(files.makeQualified(path).toString())
     _shipped.add(context.applicationId)
 
 
