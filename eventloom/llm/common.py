@@ -29,6 +29,14 @@ class Memo(dict):
         super().__init__()
         self._make, self._most = make, most
 
+    def claim(self) -> None:
+        """Make this the worker's only filled memo: workers outlive stages, and
+        those of earlier stages would add up."""
+        global _filled
+        if _filled is not self:
+            release()
+            _filled = self
+
     def __missing__(self, key: str) -> bytes:
         value = self._make(key)
         if len(self) < self._most:
@@ -36,6 +44,18 @@ class Memo(dict):
         return value
 
 
+_filled: Memo | None = None
+
+
+def release() -> None:
+    """Empty the worker's filled memo and give unused Arrow memory back."""
+    global _filled
+    if _filled is not None:
+        _filled.clear()
+        _filled = None
+    pa.default_memory_pool().release_unused()
+
+
 def word_count(text: Column) -> Column:
     """Number of words; a missing text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -89,6 +109,7 @@ def by_group(
     names = list(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         held: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:

@@ -47,6 +47,7 @@ _known = Memo(_piece_hashes, REMEMBER)
 def word_hashes(text: str | None) -> np.ndarray:
     """A 64-bit hash for each lower-cased word of the text, in order."""
     pieces = text.lower().split() if text else []
+    _known.claim()
     return np.frombuffer(b"".join(map(_known.__getitem__, pieces)), dtype="u8")
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import q
 from ..session import pin
-from .common import ROW, by_group, column, group_starts, packed, unpacked
+from .common import ROW, by_group, column, group_starts, packed, release, unpacked
 from .components import components, local_roots
 
 RADIUS = 4
@@ -66,6 +66,7 @@ def fingerprint(text: Column) -> Column:
 
     @F.arrow_udf("long")
     def run(texts: pa.Array) -> pa.Array:
+        release()
         return pa.array([fingerprint_of(t) for t in texts.to_pylist()], pa.int64())
 
     return run(text.cast("binary"))

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import q
 from ..session import scratch_path
+from .common import Memo
 
 BLOCK = 65_536
 #: A chunk ends with the document that brings it to this many ids.
@@ -80,7 +81,7 @@ class Encoder:
         self._model = Tokenizer.from_file(path)
         # A special token's name inside a text is ordinary text.
         self._model.encode_special_tokens = True
-        self._known: dict[str, bytes] = {}
+        self._known = Memo(lambda piece: self._encode([piece])[0], REMEMBER)
         # Byte-level names of the blank and the line end.
         self._begins = np.zeros(self._model.get_vocab_size(), dtype=bool)
         for token, number in self._model.get_vocab().items():
@@ -116,6 +117,7 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         cut = [self.pieces(t) if t else [] for t in texts]
         known = self._known
+        known.claim()
         missing = list({p for pieces in cut for p in pieces if p not in known})
         look = known
         if missing:

@@ -96,8 +96,10 @@ def features_of(text: str | None, lexicon: Lexicon) -> list[float]:
     if lexicon not in _memos:
         _memos.clear()
         _memos[lexicon] = Memo(_numbers(lexicon), REMEMBER)
+    known = _memos[lexicon]
+    known.claim()
     pieces = text.split()
-    rows = np.frombuffer(b"".join(map(_memos[lexicon].__getitem__, pieces)), dtype="<u2").reshape(-1, 13)
+    rows = np.frombuffer(b"".join(map(known.__getitem__, pieces)), dtype="<u2").reshape(-1, 13)
     words, bad, begun, second, capitals, shouted, calls, asks, marks, digits, masked, undone, letters = (
         rows.sum(axis=0, dtype="i8").tolist()
     )
