@@ -316,8 +316,8 @@ def profile_matrix(
 
 
 def most_frequent(df: DataFrame, n: int, cluster: str = "cluster") -> DataFrame:
-    """The ``n`` largest clusters (ties: smaller label first)."""
-    return _count(df, cluster).orderBy(F.desc("n"), q(cluster)).limit(n)
+    """The ``n`` largest clusters (ties: smaller label first); null is none."""
+    return _count(df.filter(q(cluster).isNotNull()), cluster).orderBy(F.desc("n"), q(cluster)).limit(n)
 
 
 def limit_clusters(

@@ -36,16 +36,25 @@ def is_member(df: DataFrame, gate: str) -> Column:
     return F.coalesce(hit, F.lit(False))
 
 
-def population_gate(df: DataFrame, gate: str, file_has_gate: Column | None = None) -> DataFrame:
+def population_gate(
+    df: DataFrame, gate: str, file_has_gate: Column | None = None, sample: str = "sample_id"
+) -> DataFrame:
     """keep gated events; files without the gate keep all their events.
 
-    ``file_has_gate`` tells per row whether its file carries the column; absent
-    it is read from the table's own columns.
+    ``file_has_gate`` tells per row whether its file carries the column. Absent,
+    a sample carries it if any of its events has a value there; a table without
+    a ``sample`` column counts as one file that does.
     """
     if gate not in df.columns:
         return df
     keep = is_member(df, gate)
-    return df.filter(keep if file_has_gate is None else keep | ~file_has_gate)
+    if file_has_gate is not None:
+        return df.filter(keep | ~file_has_gate)
+    if sample not in df.columns:
+        return df.filter(keep)
+    has = df.groupBy(q(sample).alias("_gated")).agg(F.bool_or(q(gate).isNotNull()).alias("_has_gate"))
+    joined = df.join(has, q(sample).eqNullSafe(F.col("_gated")))
+    return joined.filter(keep | ~F.col("_has_gate")).select(*[q(c) for c in df.columns])
 
 
 def gate_report(df: DataFrame, gate: str, file_has_gate: Column, sample: str = "sample_id"):

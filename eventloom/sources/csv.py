@@ -19,7 +19,8 @@ _HEADER_STEP = 1 << 16
 
 
 def _scan(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType | None):
-    reader = spark.read.option("header", True).option("nanValue", "NaN")
+    # A doubled quote inside quotes stands for one quote.
+    reader = spark.read.option("header", True).option("nanValue", "NaN").option("escape", '"')
     if schema is not None:
         return reader.schema(schema).csv(paths)
     return reader.option("inferSchema", True).csv(paths)
@@ -172,4 +173,4 @@ def read_files(
 
 def save_csv(df: DataFrame, path: str) -> None:
     """CSV with a header and no index column, one file per partition."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)

@@ -60,6 +60,10 @@ def read_header(path: str) -> dict:
     decades = [float(s[0]) for s in scales]
     low = [float(s[1]) or 1.0 for s in scales]
     names = each("N", "")
+    if len(set(names)) < n:
+        raise ValueError("channel names repeat")
+    if int(words.get("$NEXTDATA", "0") or 0):
+        raise ValueError("more than one data set in the file")
     gains = [float(g) or 1.0 for g in each("G", "1")]
     if "$TIMESTEP" in words:
         step = float(words["$TIMESTEP"])
@@ -186,6 +190,8 @@ def read_fcs(
                 width = sum(head["bits"]) // 8
                 start = head["data_start"] + head["first"] * width
                 block = read_range(head["path"], start, head["count"] * width)
+                if len(block) < head["count"] * width:
+                    raise ValueError(f"{head['file']}: the data end before the last event")
                 events = to_values(
                     decode(block, head["datatype"], head["big_endian"], head["bits"]), head
                 )

@@ -312,3 +312,20 @@ def test_both_sampling_ways_agree(spark, wide):
 def test_csv_round_trip(spark, tmp_path, base):
     csv.save_csv(base, str(tmp_path / "a"))
     assert sorted(rows(csv.read_csv(spark, str(tmp_path / "a")))) == sorted(rows(base))
+
+
+def test_gate_default_reads_which_files_have_it(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 0), ("b", None), ("c", 0)], "sample_id string, Live int")
+    assert [tuple(r) for r in filters.population_gate(df, "Live").orderBy("sample_id").collect()] == [("a", 1), ("b", None)]
+
+
+def test_null_label_takes_no_place(spark):
+    df = spark.createDataFrame([(v,) for v in [None] * 3 + [1, 1, 2]], "cluster int")
+    got = clusters.limit_clusters(df, 2).filter("cluster is not null").collect()
+    assert sorted(r["cluster_limited"] for r in got) == [1, 1, 2]
+
+
+def test_csv_doubled_quotes(spark, tmp_path):
+    df = spark.createDataFrame([('x "y" z', 1)], "name string, n int")
+    csv.save_csv(df, str(tmp_path / "a"))
+    assert rows(csv.read_csv(spark, str(tmp_path / "a"))) == rows(df)

@@ -142,3 +142,16 @@ def test_arrivals(spark, tmp_path):
     sheet = arrivals.latest_sheet(spark, out["sheet"])
     assert [tuple(r)[:2] for r in sheet.orderBy("sample_id").collect()] == [("s1", "sample_1"), ("s2", "sample_2")]
     assert rows(spark.read.parquet(out["counts"]), "file_name") == [("s1", 2), ("s2", 1)]
+
+
+def test_fcs_incomplete_files_raise(spark, tmp_path):
+    for name in ("twice", "cut"):
+        (tmp_path / name).mkdir()
+    write_fcs(tmp_path / "twice" / "a.fcs", ["A", "A"], [[1.0, 2.0]])
+    with pytest.raises(ValueError, match="repeat"):
+        fcs.read_fcs(spark, str(tmp_path / "twice"))
+    path = tmp_path / "cut" / "a.fcs"
+    write_fcs(path, ["A"], [[1.0], [2.0], [3.0]], "D")
+    path.write_bytes(path.read_bytes()[:-8])
+    with pytest.raises(Exception, match="data end before"):
+        fcs.read_fcs(spark, str(tmp_path / "cut")).collect()
