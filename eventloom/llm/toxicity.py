@@ -11,6 +11,7 @@ lexicon, two thirds of it fit the trees and the rest calibrates the margins.
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Callable
 from typing import NamedTuple
 
@@ -44,8 +45,12 @@ LOOKALIKES = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7
 BEGINNINGS = (4, 5, 6)
 
 _WORD = re.compile(r"[^\W\d_]+")
-_MASKED = re.compile(r"[^\W\d_]+[0-9@$!*#]+[^\W\d_]+")
+# Begins where a run of letters does: a long run is read once, not from each letter.
+_MASKED = re.compile(r"(?<![^\W\d_])[^\W\d_]+[0-9@$!*#]+[^\W\d_]+")
 _SPACED = re.compile(r"(?<!\w)(?:[^\W\d_][.\-_]){3,}[^\W\d_](?!\w)")
+#: Fixed value: marks behind a word.
+ENDINGS = frozenset(".,;:!?")
+_PACK = struct.Struct("<13H").pack
 #: Pieces of text whose numbers a worker remembers.
 REMEMBER = 300_000
 #: Words from a lexicon word to one that addresses the reader, at most.
@@ -68,20 +73,39 @@ def _numbers(lexicon: Lexicon) -> Callable[[str], bytes]:
 
     def make(piece: str) -> bytes:
         lower = piece.lower()
+        # Most pieces are one word, perhaps with a mark behind it; these need no pattern.
+        end = lower[-1] if lower[-1] in ENDINGS else ""
+        word = lower[: len(lower) - len(end)]
+        if not word.isalpha():
+            return _PACK(*[min(n, 65_535) for n in counted(piece, lower)])
+        capitals = 0 if piece.islower() else sum(map(str.isupper, piece))
+        counts = (
+            1, word in lexicon.words, begins(word), word in SECOND_PERSON, capitals,
+            capitals > 0 and len(word) > 2 and piece.isupper(), end == "!", end == "?",
+            max(len(piece) - len(word), 0), 0, 0, 0, len(word),
+        )
+        return _PACK(*counts) if len(piece) < 20_000 else _PACK(*[min(n, 65_535) for n in counts])
+
+    def begins(word: str) -> bool:
+        for k in BEGINNINGS:
+            if word[:k] in lexicon.beginnings:
+                return True
+        return False
+
+    def counted(piece: str, lower: str) -> tuple[int, ...]:
         words = _WORD.findall(lower)
         bad = sum(w in lexicon.words for w in words)
-        begun = sum(any(w[:k] in lexicon.beginnings for k in BEGINNINGS) for w in words)
+        begun = sum(map(begins, words))
         masked = _MASKED.findall(lower) + _SPACED.findall(lower)
         undone = sum(m.translate(LOOKALIKES) in lexicon.words for m in masked)
         undone += sum(re.sub(r"[.\-_]", "", m) in lexicon.words for m in masked)
         letters = sum(map(len, words))
         digits = sum(map(str.isdigit, piece))
-        counts = (
+        return (
             len(words), bad, begun, sum(w in SECOND_PERSON for w in words), sum(map(str.isupper, piece)),
             sum(len(w) > 2 and w.isupper() for w in _WORD.findall(piece)), piece.count("!"), piece.count("?"),
             max(len(piece) - letters - digits, 0), digits, len(masked), undone, letters,
         )
-        return np.minimum(counts, 65_535).astype("<u2").tobytes()
 
     return make
 
@@ -144,6 +168,7 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
     odds = F.log(t / (toxic - F.col("t") + 1.0)) - F.log(rest / (n - toxic - F.col("n") + F.col("t") + 1.0))
     z = odds / F.sqrt(1 / t + 1 / rest)
     kept = counts.where(F.col("t") >= LEAST_TEXTS).withColumn("z", z).where(F.col("z") >= LEAST_Z)
+    kept = pin(kept.select("kind", "term", "z"), "terms")
     # A lexicon has a fixed size: the entries with the largest values.
     found = {kind: kept.where(F.col("kind") == kind).orderBy(F.desc("z"), "term").limit(LEXICON).collect() for kind in (0, 1)}
     return Lexicon(frozenset(INSULTS) | {r["term"] for r in found[0]}, frozenset(r["term"] for r in found[1]))
