@@ -241,13 +241,14 @@ def importance_input(
     key: Sequence[str],
     *,
     sample: str = "sample_id",
-    cap: int | None = None,
-    total: int = 3000,
+    cap: int | None = 0,
+    total: int = 0,
 ) -> DataFrame:
-    """Features with coordinates, cleaned, capped per sample and in total.
+    """Features with coordinates, cleaned; capped per sample and in total if asked.
 
     Rows are cleaned before they are drawn (Q10), and features meet their own
-    coordinates by key (Q3). ``cap=0`` and ``total=0`` keep every row.
+    coordinates by key (Q3). By default every row is kept; ``cap=None`` takes the
+    adaptive cap for this many features.
     """
     from .filters import finite_rows
     from .ordering import adaptive_cap, cap_per_group, cap_total
@@ -256,7 +257,7 @@ def importance_input(
     joined = lookup_features(points.select(*[q(k) for k in key], "x", "y"), features, key, "inner")
     clean = finite_rows(joined, [*names, "x", "y"])
     cap = adaptive_cap(len(names)) if cap is None else cap
-    drawn = cap_per_group(clean, [sample], key, cap)
+    drawn = cap_per_group(clean, [sample], key, cap) if cap else clean
     if total:
         drawn = cap_total(drawn, key, total)
     # The draw feeds both the limits and the clipping: it is made once.

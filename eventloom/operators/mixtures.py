@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from ..functions.columns import q
-from .passes import point_table, spread_centres, starting_rows, summed
+from .passes import finite_point, point_table, spread_centres, starting_rows, summed
 
 COVARIANCES = ("full", "tied", "diag", "spherical")
 
@@ -89,15 +89,19 @@ def kmeans(
     tol: float = 1e-4,
     name: str = "cluster",
 ) -> DataFrame:
-    """M5: labels of the cheapest of ``n_init`` k-means runs."""
+    """M5: labels of the cheapest of ``n_init`` k-means runs.
+
+    Rows with a missing or non-finite coordinate take no part; their label is null.
+    """
     points = point_table(df, columns).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        rows = starting_rows(points, seed)
+        rows = starting_rows(points, seed, k)
         starts = [spread_centres(rows, k, seed + i) for i in range(n_init)]
         centres, costs = _lloyd(points, starts, max_iter, tol)
     finally:
         points.unpersist()
-    return df.withColumn(name, _nearest_label(centres[int(np.argmin(costs))], columns))
+    label = _nearest_label(centres[int(np.argmin(costs))], columns)
+    return df.withColumn(name, F.when(finite_point(columns), label))
 
 
 def elbow(
@@ -113,7 +117,7 @@ def elbow(
     """M6: within-cluster sum of squares for each number of clusters."""
     points = point_table(df, columns).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        rows = starting_rows(points, seed)
+        rows = starting_rows(points, seed, max(ks))
         plan = [(k, i) for k in ks for i in range(n_init)]
         _, costs = _lloyd(points, [spread_centres(rows, k, seed + i) for k, i in plan], max_iter, tol)
     finally:
@@ -186,7 +190,7 @@ def fit_mixture(
     centre = np.array([float(stats[f"m{i}"]) for i in range(dim)])
     spread = np.array([max(float(stats[f"v{i}"] or 0.0), 1e-12) for i in range(dim)])
     n, floor = float(stats["n"]), 1e-6
-    rows = starting_rows(points, seeds[0]) - centre
+    rows = starting_rows(points, seeds[0], k) - centre
     models = []
     for seed in seeds:
         means = spread_centres(rows, k, seed)
@@ -251,7 +255,10 @@ def gaussian_mixture(
     tol: float = 1e-3,
     name: str = "cluster",
 ) -> DataFrame:
-    """M7: labels of the likeliest of ``n_init`` mixtures."""
+    """M7: labels of the likeliest of ``n_init`` mixtures.
+
+    Rows with a missing or non-finite coordinate take no part; their label is null.
+    """
     if covariance not in COVARIANCES:
         raise ValueError(f"Unknown covariance type: {covariance}")
     points = point_table(df, columns).persist(StorageLevel.MEMORY_AND_DISK)
@@ -259,4 +266,4 @@ def gaussian_mixture(
         model, _ = fit_mixture(points, k, covariance, range(seed, seed + n_init), max_iter, tol)
     finally:
         points.unpersist()
-    return df.withColumn(name, _likeliest_label(model, columns))
+    return df.withColumn(name, F.when(finite_point(columns), _likeliest_label(model, columns)))

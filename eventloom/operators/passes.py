@@ -3,19 +3,29 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import q
+from ..functions.columns import finite_or_null, q
+from .filters import finite_rows
 from .ordering import first_n, spread
 
 
 def point_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The coordinates alone, as doubles."""
-    return spread(df.select(*[q(c).cast("double").alias(c) for c in columns]))
+    """The coordinates alone, as doubles, of the rows where all are finite.
+
+    One missing coordinate would turn every sum it enters into NaN.
+    """
+    return spread(finite_rows(df.select(*[q(c) for c in columns]), columns))
+
+
+def finite_point(columns: Sequence[str]) -> Column:
+    """True for the rows that :func:`point_table` keeps."""
+    return reduce(lambda a, b: a & b, [finite_or_null(q(c).cast("double")).isNotNull() for c in columns])
 
 
 def batch_matrix(batch: pa.RecordBatch) -> np.ndarray:
@@ -45,19 +55,23 @@ def summed(points: DataFrame, width: int, add: Callable[[np.ndarray], np.ndarray
     return out
 
 
-#: Fixed value: rows drawn to place the starting centres.
+#: Distinct points drawn to place the starting centres, at least.
 START_ROWS = 4096
 
 
-def starting_rows(points: DataFrame, seed: int) -> np.ndarray:
-    """A bounded draw of points for the starting centres.
+def starting_rows(points: DataFrame, seed: int, k: int) -> np.ndarray:
+    """A bounded draw of distinct points for the starting centres of ``k`` clusters.
 
-    The row number takes part in the order, so many copies of one point do not
-    fill the draw.
+    At least twice ``k`` and :data:`START_ROWS` rows, drawn by a hash of their
+    values: the same for any partitioning. Fewer distinct points than ``k``
+    raise; every row takes part in the fit itself.
     """
-    order = F.xxhash64(*[q(c) for c in points.columns], F.monotonically_increasing_id(), F.lit(seed))
-    drawn = first_n(points, [], order, START_ROWS)
-    return np.array([tuple(r) for r in drawn.collect()], dtype=float).reshape(-1, len(points.columns))
+    order = F.xxhash64(*[q(c) for c in points.columns], F.lit(seed))
+    drawn = first_n(points.distinct(), [], order, max(START_ROWS, 2 * k))
+    rows = np.array(sorted(tuple(r) for r in drawn.collect()), dtype=float).reshape(-1, len(points.columns))
+    if len(rows) < k:
+        raise ValueError(f"{k} clusters need as many distinct points; there are {len(rows)}")
+    return rows
 
 
 def spread_centres(rows: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -65,7 +79,7 @@ def spread_centres(rows: np.ndarray, k: int, seed: int) -> np.ndarray:
     rng = np.random.default_rng(seed)
     centres = [rows[rng.integers(len(rows))]]
     gap = np.square(rows - centres[0]).sum(axis=1)
-    while len(centres) < min(k, len(rows)):
+    while len(centres) < k:
         total = gap.sum()
         pick = rng.choice(len(rows), p=gap / total) if total > 0 else rng.integers(len(rows))
         centres.append(rows[pick])

@@ -116,7 +116,7 @@ def m10(spark, d):
 )
 def m11(spark, d):
     base = dirty_cells(spark, d)
-    return importance.importance_input(base, base.select(*KEY, *FEATURES), FEATURES, KEY)
+    return importance.importance_input(base, base.select(*KEY, *FEATURES), FEATURES, KEY, cap=None, total=3000)
 
 
 @query("M12_sample_components")
