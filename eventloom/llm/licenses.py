@@ -2,8 +2,9 @@
 
 A text's windows have as many shingles as a template and overlap by three
 quarters. The smallest value of each of ``BANDS`` hash functions over a window is
-a band of one row; a template that shares a band is a candidate. The candidate
-is verified by the exact share of its shingles near the window.
+a band of one row; a template that shares a band is a candidate for the texts
+that the window touches. Its copies in each text are then found by the exact
+share of its shingles, in that text alone.
 
 A notice that keeps 0.8 of a template's shingles overlaps its best window with
 Jaccard similarity of about 0.5 or more: all bands miss it with a chance of
@@ -13,7 +14,7 @@ million. A template of one shingle needs a single band and is never missed.
 
 from __future__ import annotations
 
-import bisect
+from collections import Counter
 from typing import NamedTuple
 
 import numpy as np
@@ -77,6 +78,7 @@ class Template(NamedTuple):
     words: int
     shingle: int
     hashes: np.ndarray  # sorted, distinct
+    orders: list[list[int]]  # where each stands in the template
 
 
 class Index(NamedTuple):
@@ -104,11 +106,15 @@ def index_templates(templates: dict[str, str]) -> Index:
         if not len(words):
             raise ValueError(f"template {name} has no words")
         size = min(SHINGLE, len(words))
-        hashes = np.unique(seed_hashes(words, size))
+        whole = seed_hashes(words, size)
+        hashes, which = np.unique(whole, return_inverse=True)
+        orders: list[list[int]] = [[] for _ in hashes]
+        for order, shingle in enumerate(which.tolist()):
+            orders[shingle].append(order)
         length = len(words) - size + 1
         keys = _mixed(hashes).min(axis=1)[: BANDS if length > 1 else 1]
         classes.setdefault((size, length), []).extend((k, len(known)) for k in keys.tolist())
-        known.append(Template(name, len(words), size, hashes))
+        known.append(Template(name, len(words), size, hashes, orders))
     packed = {}
     for at, pairs in classes.items():
         pairs.sort()
@@ -145,50 +151,97 @@ def _hits(mixed: np.ndarray, size: int, length: int, index: Index) -> list[tuple
     return sorted(out)
 
 
-def _found(words: np.ndarray, index: Index) -> list[tuple[int, int, int, float]]:
-    """(template, first word, word after the last, containment) of all notices."""
-    best: dict[int, list[tuple[float, int, int]]] = {}
-    for size in {s for s, _ in index.classes}:
-        hashes = seed_hashes(words, size)
-        lengths = [n for s, n in index.classes if s == size]
-        for at in range(0, len(hashes), PIECE):
-            mixed = _mixed(hashes[at : at + PIECE + 2 * max(lengths)])
-            for length in lengths:
-                for start, owner in _hits(mixed, size, length, index):
-                    template = index.templates[owner]
-                    low = max(0, at + start - length)
-                    near = hashes[low : at + start + 2 * length]
-                    inside = np.isin(near, template.hashes)
-                    share = len(np.unique(near[inside])) / len(template.hashes)
-                    if share >= LEAST:
-                        places = np.flatnonzero(inside) + low
-                        best.setdefault(owner, []).append((share, int(places[0]), int(places[-1]) + size))
+def _sharing(hashes: np.ndarray, size: int, begins: np.ndarray, index: Index) -> set[tuple[int, int]]:
+    """(template, text) where a window that touches the text shares a band."""
+    out = set()
+    lengths = [n for s, n in index.classes if s == size]
+    for at in range(0, len(hashes), PIECE):
+        mixed = _mixed(hashes[at : at + PIECE + 2 * max(lengths)])
+        for length in lengths:
+            # A window is made of whole steps, so it may be longer than the template by one.
+            reach = length + max(1, length // 4)
+            for start, owner in _hits(mixed, size, length, index):
+                first, last = np.searchsorted(begins, (at + start, at + start + reach - 1), side="right")
+                out.update((owner, text) for text in range(first - 1, min(last, len(begins) - 1)))
+    return out
+
+
+def _copies(at: np.ndarray, which: np.ndarray, template: Template) -> list[tuple[int, int, int]]:
+    """(first place, last place, distinct shingles) of the copies of a template in a
+    text that has its shingles ``which`` at the places ``at``.
+
+    The places are cut into runs of rising template order: two copies never share
+    a run, since each has most of the order. A copy is one run, or several next to
+    each other where parts were moved. Most copies come first, then most shingles,
+    then the least length.
+    """
+    length = template.words - template.shingle + 1
+    least, whole = LEAST * len(template.hashes), len(template.hashes)
+    if len(np.unique(which)) < least:
+        return []
+    places, shingles = at.tolist(), which.tolist()
+    orders: list[int] = []
+    runs: list[int] = []
+    torn: set[int] = set()
+    for i, shingle in enumerate(shingles):
+        before = orders[-1] if orders else -1
+        far = i > 0 and places[i] - places[i - 1] > length
+        orders.append(next((o for o in template.orders[shingle] if o > before and not far), template.orders[shingle][0]))
+        if far:
+            torn.add(len(runs))
+        if i == 0 or far or orders[-1] <= before:
+            runs.append(i)
+    runs.append(len(shingles))
+    best: list[tuple[int, int, int]] = [(0, 0, 0)]
+    taken: list[tuple[int, int, int, int] | None] = [None]
+    for end in range(1, len(runs)):
+        best.append(best[-1])
+        taken.append(None)
+        seen: set[int] = set()
+        last = runs[end] - 1
+        for begin in range(end - 1, -1, -1):
+            first = runs[begin]
+            if begin < end - 1 and (begin + 1 in torn or places[last] - places[first] >= 3 * length):
+                break
+            seen.update(shingles[first : runs[begin + 1]])
+            if len(seen) < least:
+                continue
+            a, b = _tight(orders, first, last) if begin < end - 1 else (first, last)
+            count, shared, long = best[begin]
+            value = (count + 1, shared + len(seen), long - (places[b] - places[a]))
+            if value > best[end]:
+                best[end], taken[end] = value, (begin, a, b, len(seen))
+            if len(seen) == whole:
+                break
     out = []
-    for owner, finds in best.items():
-        for share, a, b in _fullest(set(finds)):
-            out.append((owner, a, b, share))
-    return sorted(out, key=lambda f: (f[1], f[2], f[0]))
-
-
-def _fullest(finds: set[tuple[float, int, int]]) -> list[tuple[float, int, int]]:
-    """Of overlapping finds those with the largest share, shorter ones first."""
-    starts: list[int] = []
-    kept: list[tuple[float, int, int]] = []
-    for share, a, b in sorted(finds, key=lambda f: (-f[0], f[2] - f[1], f[1])):
-        at = bisect.bisect_left(starts, a)
-        before = kept[at - 1] if at else None
-        after = kept[at] if at < len(kept) else None
-        if (before is None or before[2] <= a) and (after is None or b <= after[1]):
-            starts.insert(at, a)
-            kept.insert(at, (share, a, b))
-    return kept
+    end = len(runs) - 1
+    while end > 0:
+        if (take := taken[end]) is None:
+            end -= 1
+        else:
+            end = take[0]
+            out.append((places[take[1]], places[take[2]], take[3]))
+    return out[::-1]
+
+
+def _tight(orders: list[int], a: int, b: int) -> tuple[int, int]:
+    """First and last without what stands again between them."""
+    count = Counter(orders[a : b + 1])
+    while count[orders[a]] > 1:
+        count[orders[a]] -= 1
+        a += 1
+    while count[orders[b]] > 1:
+        count[orders[b]] -= 1
+        b -= 1
+    return a, b
 
 
 def notices_of(texts: list[str | None], index: Index) -> list[list[tuple[str, int, int, float]]]:
     """For each text (template, first word, word after the last, containment); none
-    in an empty text. Of overlapping finds of one template the fullest is kept.
+    in an empty text. Each copy of a template in a text is one.
 
-    The texts are scanned as one run of words, parted by words that no text has.
+    The texts are scanned as one run of words, parted by words that no text has,
+    for templates that share a band; the copies are then found in each text alone.
     """
     out: list[list[tuple[str, int, int, float]]] = [[] for _ in texts]
     apart = np.arange(1, SHINGLE + 1, dtype="u8") * np.uint64(0xD1B54A32D192ED03)
@@ -197,9 +250,19 @@ def notices_of(texts: list[str | None], index: Index) -> list[list[tuple[str, in
         return out
     begins = np.cumsum([0, *(len(w) + SHINGLE for w in words)])
     joined = np.concatenate([x for w in words for x in (w, apart)])
-    for owner, a, b, share in _found(joined, index):
-        at = int(np.searchsorted(begins, a, side="right")) - 1
-        out[at].append((index.templates[owner].name, a - int(begins[at]), b - int(begins[at]), share))
+    found: list[list[tuple[int, int, int, float]]] = [[] for _ in texts]
+    for size in {s for s, _ in index.classes}:
+        hashes = seed_hashes(joined, size)
+        for owner, text in _sharing(hashes, size, begins, index):
+            template = index.templates[owner]
+            own = hashes[begins[text] : begins[text] + max(0, len(words[text]) - size + 1)]
+            which = np.minimum(np.searchsorted(template.hashes, own), len(template.hashes) - 1)
+            at = np.flatnonzero(template.hashes[which] == own)
+            for a, b, shared in _copies(at, which[at], template):
+                found[text].append((owner, a, b + size, shared / len(template.hashes)))
+    for text, finds in enumerate(found):
+        for owner, a, b, share in sorted(finds, key=lambda f: (f[1], f[2], f[0])):
+            out[text].append((index.templates[owner].name, a, b, share))
     return out
 
 

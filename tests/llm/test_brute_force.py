@@ -102,6 +102,32 @@ def test_licences_by_containment():
         assert names == want
 
 
+@pytest.mark.parametrize("name", ["apache-2.0-header", "mit-grant", "gpl-3.0-header", "bsd", "isc", "mpl-2.0", "all-rights-reserved"])
+def test_texts_of_a_notice_alone_each_have_it(name):
+    index = licenses.index_templates(licenses.TEMPLATES)
+    notice = licenses.TEMPLATES[name]
+    size = len(decontam.word_hashes(notice))
+    found = licenses.notices_of([notice + f" End of file {i}." for i in range(300)], index)
+    assert [[f[1:] for f in finds if f[0] == name] for finds in found] == [[(0, size, 1.0)]] * 300
+
+
+def test_each_copy_in_a_text_is_a_notice():
+    index = licenses.index_templates(licenses.TEMPLATES)
+    notice = licenses.TEMPLATES["mit-grant"].split()
+    altered = notice[:]
+    altered[20] = "altered"
+    cut = notice[:-8]
+    moved = notice[30:] + notice[:30]
+    text = " ".join([*notice, *altered, *cut, *prose(1, 9).split(), *cut, *prose(2, 300).split(), *moved])
+    copies = [f for f in licenses.notices_of([text], index)[0] if f[0] == "mit-grant"]
+    at = [len(decontam.word_hashes(" ".join(w))) for w in (notice, altered, cut, prose(1, 9).split(), cut, prose(2, 300).split(), moved)]
+    ends = np.cumsum(at).tolist()
+    assert [f[1:3] for f in copies] == [(0, ends[0]), (ends[0], ends[1]), (ends[1], ends[2]), (ends[3], ends[4]), (ends[5], ends[6])]
+    assert copies[0][3] == 1.0 and all(licenses.LEAST <= f[3] < 1.0 for f in copies[1:])
+    # The same in ten texts of one scan as in each alone.
+    assert licenses.notices_of([text] * 10, index) == licenses.notices_of([text], index) * 10
+
+
 # --- vectors
 
 
