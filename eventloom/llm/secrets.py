@@ -3,7 +3,8 @@
 Beside the three patterns, long strings of mixed characters that follow a
 sensitive word are weighed: zstandard, primed with identifier words and with the
 text around the string, compresses the string, and what it adds in bytes is its
-novelty. Names, paths and repeated values are cheap, random keys are not.
+novelty. Other copies of the string are taken out of that text, so a key counts
+wherever it stands. Names and paths are cheap, random keys are not.
 """
 
 from __future__ import annotations
@@ -26,7 +27,9 @@ ASSIGN_LEAST = 6
 KINDS = ("assign", "access", "hex", "novel")
 
 #: Candidates for the novelty measure, and the words that make a context sensitive.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LEAST_CHARS = 16
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST_CHARS)
+PARTS = re.compile(r"[=/]")
 CONTEXT = re.compile(
     r"password|passwd|pwd|secret|token|key|auth|bearer|credential|private|signature|session|cookie|login", re.I | re.A
 )
@@ -65,9 +68,20 @@ class Span(NamedTuple):
     novelty: float | None
 
 
+def _around(text: str, start: int, end: int) -> str:
+    """The text around a piece, with copies of the piece and of its long parts blanked."""
+    piece = text[start:end]
+    # Copies that reach over the outer bounds are seen whole.
+    low, first = max(0, start - SURROUNDING_CHARS - len(piece)), max(0, start - SURROUNDING_CHARS)
+    before, after = text[low:start], text[end : end + SURROUNDING_CHARS + len(piece)]
+    for part in sorted({piece, *(p for p in PARTS.split(piece) if len(p) >= LEAST_CHARS)}, key=lambda p: (-len(p), p)):
+        before, after = (side.replace(part, "\n" * len(part)) for side in (before, after))
+    return before[first - low :] + "\n" + after[:SURROUNDING_CHARS]
+
+
 def novelty(text: str, start: int, end: int) -> float:
-    """Bytes that a piece of text adds per byte, after its surroundings."""
-    around = text[max(0, start - SURROUNDING_CHARS) : start] + "\n" + text[end : end + SURROUNDING_CHARS]
+    """Bytes that a piece of text adds per byte, after its surroundings without copies of it."""
+    around = _around(text, start, end)
     prime = zstandard.ZstdCompressionDict(
         IDENTIFIERS + b"\n" + around.encode("utf-8", "replace"), dict_type=zstandard.DICT_TYPE_RAWCONTENT
     )

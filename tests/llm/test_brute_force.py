@@ -74,6 +74,18 @@ def test_base_secrets_equal_the_patterns(spark):
     assert "novel" not in rows[7]["all"]
 
 
+def novel(text):
+    return [text[s.start : s.end] for s in secrets.spans_of(text) if s.kind == "novel"]
+
+
+@pytest.mark.parametrize("key", ["q9Zx81Lm0PvT4sKd", "q9Zx81Lm0PvT4sKd7WyB", "q9Zx81Lm0PvT4sKd7WyB2nRc5tGh8jUe"])
+@pytest.mark.parametrize("gap", [3, 200, *range(980, 1030, 5)])
+def test_repeated_keys_are_found_at_each_place(key, gap):
+    line = f"session cookie {key} in calls. "
+    assert novel(line + prose(5, gap)[:gap] + ". " + line) == [key] * 2
+    assert novel(line + f"the session is auth={key} here. " + line) == [key, f"auth={key}", key]
+
+
 def test_secret_query_digest(spark, odd_dir):
     rows = QUERIES["op1_secrets"](spark, odd_dir).collect()
     assert {r["base_sha256"] for r in rows if not r["n_assign"] + r["n_access"] + r["n_hex"]} == {hashlib.sha256(b"").hexdigest()}
