@@ -1,17 +1,24 @@
 """Secrets: fixed patterns, and strings that a primed compressor cannot shorten.
 
-Beside the three patterns, long strings of mixed characters that follow a
-sensitive word are weighed: zstandard, primed with identifier words and with the
+Beside the three patterns, long strings beside a sensitive word, and the lines
+that go on with such a string, are weighed: zstandard, primed with identifier words and with the
 text around the string, compresses the string, and what it adds in bytes is its
 novelty. Other copies of the string are taken out of that text, so a key counts
-wherever it stands. Names and paths are cheap, random keys are not.
+wherever it stands; and the bytes are compared with what the same characters add
+in random order, so that small alphabets count too. Names and paths are cheap,
+random keys are not; words that the compressor does not know are told by their
+letters.
 """
 
 from __future__ import annotations
 
+import bisect
+import math
 import re
+from collections import Counter
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column
@@ -35,8 +42,15 @@ CONTEXT = re.compile(
 )
 CONTEXT_CHARS = 48
 SURROUNDING_CHARS = 1024
-#: Added bytes per byte of the string from which it counts as incompressible.
-NOVELTY = 0.75
+#: What ends a line of candidates, written out or escaped, with quotes and indents.
+LINE_GAP = 32
+LINE_END = re.compile(r"(?:[\x20\t\"'`,;>#*+|\\]|\\r)*(?:\r?\n|\\n)[\s\"'`,;>#*+|\\]*")
+#: Added bytes, of those that the same characters add in random order, from which
+#: a string counts as incompressible; and the least bits of its characters.
+NOVELTY, LEAST_BITS = 0.75, 40.0
+#: Bits a letter below which a string without digits reads as words. Words of code and
+#: prose take up to 6.0, random letters of one case 5.8 or more, of both cases 6.8 or more.
+WORD_BITS = 6.1
 
 #: Identifier words that prime the compressor, beside the surrounding text.
 IDENTIFIERS = (
@@ -80,7 +94,8 @@ def _around(text: str, start: int, end: int) -> str:
 
 
 def novelty(text: str, start: int, end: int) -> float:
-    """Bytes that a piece of text adds per byte, after its surroundings without copies of it."""
+    """Bytes that a piece of text adds after its surroundings without copies of it,
+    as a share of what its characters in random order would add."""
     around = _around(text, start, end)
     prime = zstandard.ZstdCompressionDict(
         IDENTIFIERS + b"\n" + around.encode("utf-8", "replace"), dict_type=zstandard.DICT_TYPE_RAWCONTENT
@@ -89,7 +104,33 @@ def novelty(text: str, start: int, end: int) -> float:
         level=6, dict_data=prime, write_content_size=False, write_checksum=False, write_dict_id=False
     )
     piece = text[start:end].encode()
-    return (len(press.compress(piece)) - len(press.compress(b""))) / len(piece)
+    none = len(press.compress(b""))
+    added = len(press.compress(piece)) - none
+    if added >= NOVELTY * len(piece):  # no order adds more than all bytes
+        return added / len(piece)
+    order = np.random.default_rng(len(piece)).permutation(len(piece))
+    mixed = np.frombuffer(piece, dtype="u1")[order].tobytes()
+    return added / min(len(piece), len(press.compress(mixed)) - none)
+
+
+def _own_bits(piece: str) -> float:
+    """Bits of a string by the frequencies of its own characters."""
+    return sum(n * math.log2(len(piece) / n) for n in Counter(piece).values())
+
+
+def _like_words(piece: str, around: str) -> bool:
+    """Whether letters follow each other as in the identifier words and the text
+    around: three-letter frequencies without case, and changes of case."""
+    known = IDENTIFIERS.decode().lower() + "\n" + around.lower()
+    one, two, three = Counter(known), Counter(zip(known, known[1:])), Counter(zip(known, known[1:], known[2:]))
+    low, bits = "  " + piece.lower(), 0.0
+    for a, b, c in zip(low, low[1:], low[2:]):
+        chance = (one[c] + 0.5) / (len(known) + 32)
+        chance = (two[b, c] + 4 * chance) / (one[b] + 4)
+        bits -= math.log2((three[a, b, c] + 4 * chance) / (two[a, b] + 4))
+    turns = sum(a.isupper() != b.isupper() for a, b in zip(piece, piece[1:]))
+    bits += turns * math.log2(10) + (len(piece) - 1 - turns) * math.log2(10 / 9)
+    return bits < WORD_BITS * len(piece)
 
 
 def base_spans(text: str) -> list[Span]:
@@ -100,9 +141,32 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
-def _mixed(piece: str) -> bool:
-    kinds = (any(map(str.isdigit, piece)), any(map(str.islower, piece)), any(map(str.isupper, piece)))
-    return kinds[0] and sum(kinds) > 1
+def _sensitive(text: str, places: list[tuple[int, int]], assigned: list[tuple[int, int]]) -> list[bool]:
+    """Whether a sensitive word stands near, or names the string in front of a "=";
+    what holds for a line of candidates holds for the lines next to it. A word that
+    follows and has a value of its own (``assigned``) does not count."""
+    near = []
+
+    def free(word: int) -> bool:
+        at = bisect.bisect_right(assigned, (word, len(text))) - 1
+        return at < 0 or assigned[at][1] <= word
+
+    for start, end in places:
+        name = text.find("=", start, end)
+        named = start if name < 0 or name > start + CONTEXT_CHARS or not text[name + 1 : end].strip("=") else name
+        near.append(
+            CONTEXT.search(text, max(0, start - CONTEXT_CHARS), named) is not None
+            or any(free(m.start()) for m in CONTEXT.finditer(text, end, end + CONTEXT_CHARS))
+        )
+    joined = [
+        a[1] + LINE_GAP >= b[0] and LINE_END.fullmatch(text, a[1], b[0] + (text[b[0] - 1 : b[0] + 1] == "\\n")) is not None
+        for a, b in zip(places, places[1:])
+    ]
+    for i, next_line in enumerate(joined):
+        near[i + 1] |= next_line and near[i]
+    for i in range(len(joined) - 1, -1, -1):
+        near[i] |= joined[i] and near[i + 1]
+    return near
 
 
 def spans_of(text: str | None) -> list[Span]:
@@ -114,16 +178,18 @@ def spans_of(text: str | None) -> list[Span]:
         return []
     found = base_spans(text)
     taken = [(s.start, s.end) for s in found]
-    for m in CANDIDATE.finditer(text):
-        if not _mixed(m[0]):
+    places = [m.span() for m in CANDIDATE.finditer(text)]
+    assigned = [(s.start, s.end) for s in found if s.kind == "assign"]
+    for (start, end), sensitive in zip(places, _sensitive(text, places, assigned)):
+        if not sensitive or any(a < end and start < b for a, b in taken):
             continue
-        start, end = m.span()
-        if any(a < end and start < b for a, b in taken):
-            continue
-        if not CONTEXT.search(text, max(0, start - CONTEXT_CHARS), start):
+        piece = text[start:end]
+        if _own_bits(piece) < LEAST_BITS:
             continue
         measure = novelty(text, start, end)
-        if measure >= NOVELTY:
+        if measure < NOVELTY:
+            continue
+        if any(map(str.isdigit, piece)) or not _like_words(piece, _around(text, start, end)):
             found.append(Span("novel", start, end, measure))
     return sorted(found, key=lambda s: (s.start, KINDS.index(s.kind), s.end))
 

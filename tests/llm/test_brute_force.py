@@ -86,6 +86,44 @@ def test_repeated_keys_are_found_at_each_place(key, gap):
     assert novel(line + f"the session is auth={key} here. " + line) == [key, f"auth={key}", key]
 
 
+def drawn(alphabet, size, seed):
+    return "".join(np.random.default_rng(seed).choice(list(alphabet), size))
+
+
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+BASE64 = LETTERS.upper() + LETTERS + "0123456789+/"
+
+
+def test_keys_of_small_alphabets_and_without_digits():
+    for alphabet, size in (("0123456789ABCDEF", 96), ("0123456789ABCDEF", 400), (LETTERS.upper() + "234567", 256)):
+        for seed in range(20):
+            key = drawn(alphabet, size, seed)
+            assert novel(f"the session cookie {key} in calls") == [key]
+    for seed in range(50):
+        key = drawn(LETTERS + LETTERS.upper(), 16, seed)
+        assert novel(f"the session cookie {key} in calls") == [key]
+    words = (
+        "internationalization applicationContextConfiguration getAuthenticationTokenProvider uncharacteristically "
+        "responsabilidades-administrativas com_example_authentication_provider Donaudampfschiffahrtsgesellschaft "
+        "================================ -=-=-=-=-=-=-=-=-=-=-=-=-=-=-=-= 0000000000000000 AAAAAAAAAAAAAAAAAAAAAAAA"
+    )
+    for word in words.split():
+        assert novel(f"the session cookie {word} in calls") == []
+
+
+def test_contexts_after_a_key_and_over_lines():
+    lines = [drawn(BASE64, 64, seed) for seed in range(26)]
+    for end in ("\n", "\r\n", "\n    ", '\\n" +\n  "'):
+        text = prose(1, 40) + "\n-----BEGIN RSA PRIVATE KEY-----\n" + end.join(lines) + "\n-----END RSA PRIVATE KEY-----\n" + prose(2, 40)
+        assert novel(text) == lines
+    assert novel("\n".join(lines)) == []
+    key = drawn(BASE64[:62], 24, 3) + "7"
+    assert novel(f"{key} is the password of it") == [key]
+    assert novel(f"auth={key}") == [f"auth={key}"]
+    assert novel(f'{{"value": "{key}", "secret": true}}') == [key]
+    assert novel(f"{key} is the number of it") == novel(f"{key} then token = 'abcdef12'") == []
+
+
 def test_secret_query_digest(spark, odd_dir):
     rows = QUERIES["op1_secrets"](spark, odd_dir).collect()
     assert {r["base_sha256"] for r in rows if not r["n_assign"] + r["n_access"] + r["n_hex"]} == {hashlib.sha256(b"").hexdigest()}
