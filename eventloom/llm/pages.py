@@ -5,7 +5,8 @@ length and commas and passes them to its ancestors, less to farther ones; an
 element's points are discounted by the share of its text that is link text. The
 best element is the article, with those siblings that also hold prose. Elements
 that by name, class or role are menus, forms, notices, adverts, reader comments
-or page furniture are cut before scoring.
+or page furniture are cut before scoring. A cut by class, id or role is taken
+back where it took the page's article.
 """
 
 from __future__ import annotations
@@ -42,6 +43,11 @@ KIND_POINTS = {"article": 25.0, "main": 15.0, "section": 5.0, "div": 5.0, "td":
 GOOD_POINTS = 15.0
 #: Share of link text from which a list counts as a menu, and a sibling's least share of points.
 MENU_LINKS, SIBLING_SHARE, SIBLING_LEAST = 0.6, 0.2, 10.0
+#: How sure a name cut is: by part of a class name, by a whole one, or reader comments.
+WEAK, STRONG, COMMENTS = 1, 2, 3
+COMMENT_NAMES = frozenset("comment comments disqus reply replies respond discussion".split())
+#: Share of the page's prose that is most of it, and of an element's prose that is little.
+MOST, LITTLE = 0.5, 0.25
 
 _TAG = re.compile(
     r"<!--.*?(?:--!?>|\Z)"
@@ -50,7 +56,7 @@ _TAG = re.compile(
     r"|<[!?][^>]*+>",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
 _PART = re.compile(r"[a-z]+")
 #: Elements that an opening tag ends, and those it does not look beyond.
 _ENDS = {
@@ -64,11 +70,15 @@ _ENDS = {
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "cut", "points", "chars", "links", "good")
+    __slots__ = ("tag", "parent", "hidden", "named", "cut", "points", "chars", "links", "good")
 
-    def __init__(self, tag: str, parent: _Node | None, cut: bool, good: bool):
-        self.tag, self.parent, self.cut, self.good = tag, parent, cut, good
-        self.points = KIND_POINTS.get(tag, 0.0) + GOOD_POINTS * good
+    def __init__(self, tag: str, parent: _Node | None, hidden: bool, named: int, good: bool):
+        self.tag, self.parent, self.hidden, self.named, self.good = tag, parent, hidden, named, good
+        self.cut = hidden or bool(named) or parent is not None and parent.cut
+        self.clear()
+
+    def clear(self) -> None:
+        self.points = KIND_POINTS.get(self.tag, 0.0) + GOOD_POINTS * self.good
         self.chars = self.links = 0
 
     def inside(self, tags: frozenset[str]) -> bool:
@@ -90,28 +100,76 @@ class _Node:
 
 
 def _open(tag: str, attributes: str, parent: _Node) -> _Node:
-    cut, good = parent.cut or tag in CUT, False
+    hidden, named = parent.hidden or tag in CUT, 0
     names: set[str] = set()
-    if attributes:
-        for m in _ATTRIBUTE.finditer(attributes):
-            name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-            if name in ("class", "id", "role"):
-                names.update(_PART.findall(value))
-            elif name == "hidden" or name == "aria-hidden" and value == "true" or re.search(r"display\s*:\s*none", value):
-                cut = True
+    whole: set[str] = set()
+    known: set[str] = set()
+    for m in _ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if name in known:
+            continue
+        known.add(name)
+        if name in ("class", "id", "role"):
+            names.update(_PART.findall(value))
+            whole.update(value.split())
+        elif name == "hidden" or name == "aria-hidden" and value == "true":
+            hidden = True
+        elif name == "style" and re.search(r"display\s*:\s*none", value):
+            hidden = True
     if tag not in ("html", "body") and tag not in ARTICLES:
-        cut = cut or not CUT_NAMES.isdisjoint(names)
+        if not CUT_NAMES.isdisjoint(names):
+            named = WEAK if CUT_NAMES.isdisjoint(whole) else STRONG
         if (tag == "header" or not HEADER_NAMES.isdisjoint(names)) and not parent.inside(ARTICLES):
-            cut = True
+            named = named or WEAK
+        if named and not COMMENT_NAMES.isdisjoint(names):
+            named = COMMENTS
     elif tag == "article" and not {"comment", "comments", "reply"}.isdisjoint(names):
-        cut = True
-    good = not GOOD_NAMES.isdisjoint(names)
-    return _Node(tag, parent, cut, good)
+        named = COMMENTS
+    return _Node(tag, parent, hidden, named, not GOOD_NAMES.isdisjoint(names))
+
+
+def _restored(blocks: list[tuple[_Node, str, int]], found: int) -> bool:
+    """Takes name cuts back that took the article, given the characters found; whether any.
+
+    Such an element holds the only article or main elements of the page and more
+    than was found, or most of the prose where little or nothing was found. Reader
+    comments stay cut.
+    """
+    prose: dict[_Node, int] = {}
+    holding: set[_Node] = set()
+    whole, outside = 0, False
+    for element, text, linked in blocks:
+        names: list[_Node] = []
+        article = False
+        node: _Node | None = element
+        while node:
+            if node.named:
+                names.append(node)
+            elif node.tag in ARTICLES and not names:
+                article = True
+            node = node.parent
+        if any(n.named == COMMENTS for n in names):
+            continue
+        whole += len(text) - linked
+        for node in names:
+            prose[node] = prose.get(node, 0) + len(text) - linked
+        if article:
+            holding.update(names)
+            outside = outside or not names
+    taken = []
+    for node, chars in prose.items():
+        only = node in holding and not outside and found < chars
+        little = not found or node.named == WEAK and found < LITTLE * chars
+        if only or little and chars > MOST * whole:
+            taken.append(node)
+    for node in taken:
+        node.named = 0
+    return bool(taken)
 
 
 def _blocks(html: str) -> list[tuple[_Node, str, int]]:
     """Blocks of text in page order: element, text, and characters of link text."""
-    root = _Node("html", None, False, False)
+    root = _Node("html", None, False, 0, False)
     here, link = root, False
     out: list[tuple[_Node, str, int]] = []
     text: list[str] = []
@@ -128,7 +186,7 @@ def _blocks(html: str) -> list[tuple[_Node, str, int]]:
 
     def add(raw: str) -> None:
         nonlocal linked
-        if raw and not here.cut:
+        if raw and not here.hidden:
             text.append(raw)
             if link:
                 linked += len(raw.strip())
@@ -184,8 +242,13 @@ def _nearest(node: _Node | None, tags: frozenset[str], limit: frozenset[str]) ->
 
 
 def _score(blocks: list[tuple[_Node, str, int]]) -> None:
-    for element, text, linked in blocks:
+    for element, _, _ in blocks:
         node: _Node | None = element
+        while node:
+            node.clear()
+            node = node.parent
+    for element, text, linked in blocks:
+        node = element
         while node:
             node.chars += len(text)
             node.links += linked
@@ -210,9 +273,24 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     blocks = _blocks(html)
+    text = _article([b for b in blocks if not b[0].cut])
+    if any(b[0].cut for b in blocks) and _restored(blocks, len(text)):
+        text = _article([b for b in blocks if not _is_cut(b[0])])
+    return text
+
+
+def _is_cut(node: _Node) -> bool:
+    step: _Node | None = node
+    while step and not step.named:
+        step = step.parent
+    return step is not None
+
+
+def _article(blocks: list[tuple[_Node, str, int]]) -> str:
     if not blocks:
         return ""
     _score(blocks)
+    every = blocks
     menus: dict[_Node, bool] = {}
 
     def menu(node: _Node) -> bool:
@@ -249,7 +327,16 @@ def main_text(html: str | None) -> str:
             step = step.parent
         return step is best
 
-    return "\n".join(text for node, text, linked in blocks if kept(node, text, linked))
+    def listed(node: _Node) -> bool:
+        """Whether a list of links is part of the article: navigation was cut before."""
+        step: _Node | None = node
+        while step and step is not best:
+            step = step.parent
+        return step is best and best.tag not in ("html", "body")
+
+    return "\n".join(
+        text for node, text, linked in every if kept(node, text, linked) and (not menu(node) or listed(node))
+    )
 
 
 def extracted(html: Column) -> Column:

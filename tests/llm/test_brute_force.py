@@ -366,6 +366,26 @@ def test_page_text():
     assert pages.main_text("<div>" * 3000 + "<p>deep, but whole.</p>") == "deep, but whole."
 
 
+STORY = "".join(f"<p>Paragraph {i} of the story, with commas, and enough text to be counted as prose by any measure.</p>" for i in range(6))
+
+
+@pytest.mark.parametrize("opened", [
+    "<div class='content-sidebar-wrap'><div class=inner>", "<div id=page class='site has-sidebar'><article>",
+    "<div class='main nav-fixed'><div>", "<div class='article share-page'><div>", "<div class='site-widget'><div class='nav-fixed'>",
+    "<div title='hidden gems'><div>", "<div data-overflow=\"hidden\"><div data-id='sidebar' data-class=\"nav\">", "<div class=widget><main>",
+])
+def test_page_wrappers_named_like_furniture(opened):
+    rest = "<div class='site-footer'><p>Imprint, and some more words of it.</p></div><div class='comments'>" + STORY.replace("story", "reader") * 3 + "</div>"
+    got = pages.main_text(f"<body>{opened}{STORY}<div class='sidebar'><p>Other news, at length, of the day.</p></div></div></div>{rest}</body>")
+    assert got.split("\n") == [p[3:] for p in STORY.split("</p>") if p]
+
+
+def test_link_lists_in_an_article_stay():
+    links = "<ul><li><a href=x>First source of it</a></li><li><a href=y>Second source</a></li></ul>"
+    page = f"<div>{links}</div><article>{STORY}{links}<nav>{links}</nav><ul role=navigation><li><a href=z>Third</a></li></ul></article>"
+    assert pages.main_text(page).split("\n")[6:] == ["First source of it", "Second source"]
+
+
 # --- token files
 
 
