@@ -58,7 +58,7 @@ def m5(spark, d):
 
 @query("M6_elbow")
 def m6(spark, d):
-    return mixtures.elbow(cells(spark, d).select("x", "y"), n_init=2)
+    return mixtures.elbow(cells(spark, d).select("x", "y"))
 
 
 @query("M7_mixture_full")
@@ -87,14 +87,14 @@ def _importance_rows(spark, d):
 
 @query("M9_feature_importance")
 def m9(spark, d):
-    table_, _ = importance.feature_importance(_importance_rows(spark, d), "x", "y", KEY, trees=20, depth=8)
+    table_, _ = importance.feature_importance(_importance_rows(spark, d), "x", "y", KEY)
     return table_
 
 
 @query("L6_top_importance")
 def l6(spark, d):
     table_, _ = importance.feature_importance(
-        _importance_rows(spark, d), "y", "x", KEY, trees=10, depth=6, top=3
+        _importance_rows(spark, d), "y", "x", KEY, top=3
     )
     return table_
 
@@ -103,7 +103,7 @@ def l6(spark, d):
 def m10(spark, d):
     names = [*FEATURES, "gate_o"]
     return importance.importance_of_coordinates(
-        _importance_rows(spark, d), names, wide=3, trees=10, depth=6
+        _importance_rows(spark, d), names, wide=3
     )
 
 
@@ -119,6 +119,16 @@ def m11(spark, d):
     return importance.importance_input(base, base.select(*KEY, *FEATURES), FEATURES, KEY, cap=None, total=3000)
 
 
+@query(
+    "M11_importance_input_all",
+    f"""with {DIRTY} select sample_id, cell_id, l_quantity, l_extendedprice, l_discount, l_tax, x, y from dirty
+    where l_discount is not null and not isinf(l_tax)""",
+)
+def m11_all(spark, d):
+    base = dirty_cells(spark, d)
+    return importance.importance_input(base, base.select(*KEY, *FEATURES), FEATURES, KEY)
+
+
 @query("M12_sample_components")
 def m12(spark, d):
     events = cells(spark, d)
@@ -146,23 +156,23 @@ def m12_shares(spark, d):
 
 @query("M2_umap")
 def m2(spark, d):
-    return embed.umap_layout(vectors(spark, d), 15, 0.1, epochs=20)
+    return embed.umap_layout(vectors(spark, d), 15, 0.1)
 
 
 @query("M3_densmap")
 def m3(spark, d):
-    return embed.umap_layout(vectors(spark, d), 15, 0.1, dens_lambda=2.0, epochs=20)
+    return embed.umap_layout(vectors(spark, d), 15, 0.1, dens_lambda=2.0)
 
 
 @query("M4_tsne")
 def m4(spark, d):
-    return embed.tsne_layout(vectors(spark, d), 30.0, epochs=20)
+    return embed.tsne_layout(vectors(spark, d), 30.0)
 
 
 @query("M8_hdbscan")
 def m8(spark, d):
     points = cells(spark, d).select(*KEY, "x", "y")
-    return _counted(density.hdbscan(points, min_cluster_size=100, min_samples=5, levels=8, orders=3), "cluster")
+    return _counted(density.hdbscan(points, min_cluster_size=100, min_samples=5), "cluster")
 
 
 @query(
@@ -183,10 +193,10 @@ def m13(spark, d):
 
 @query("M13_embedding")
 def m13_embed(spark, d):
-    return embed.embed(cells(spark, d), FEATURES, "UMAP", key=KEY, n_neighbors=10, epochs=8)
+    return embed.embed(cells(spark, d), FEATURES, "UMAP", key=KEY, n_neighbors=10)
 
 
 @query("M14_cluster_by_method")
 def m14(spark, d):
     points = cells(spark, d).select(*KEY, "x", "y")
-    return _counted(density.cluster(points, "GMM", 5, covariance_type="diag", n_init=3), "cluster")
+    return _counted(density.cluster(points, "GMM", 5, covariance_type="diag"), "cluster")
