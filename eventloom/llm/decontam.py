@@ -219,9 +219,11 @@ def contaminated(df: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
 
 
 def drop_contaminated(df: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The input without the texts that contain an item; rows without id stay."""
-    bad = contaminated(df, benchmark, id_column=id_column, text_column=text_column)
-    bad = pin(bad.select("doc_id", "text_key").distinct(), "contaminated")
-    rows = packed(df, q(id_column).cast("long").alias("_id"), F.xxhash64(q(text_column)).alias("_key"))
-    clean = rows.join(bad, (F.col("_id") == F.col("doc_id")) & (F.col("_key") == F.col("text_key")), "left_anti")
+    """The input without the texts that contain an item, with or without ids."""
+    key = F.xxhash64(q(text_column))
+    texts = df.select(key.alias("doc_id"), q(text_column).alias("text"))
+    items = benchmark.select(F.xxhash64(q("text")).alias("item_id"), q("text").alias("text"))
+    bad = pin(contaminated(texts, items).select("text_key").distinct(), "contaminated")
+    rows = packed(df, key.alias("_key"))
+    clean = rows.join(bad, F.col("_key") == F.col("text_key"), "left_anti")
     return unpacked(clean.select(ROW), df.columns)

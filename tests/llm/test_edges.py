@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from eventloom.llm import simhash, toxicity
+from eventloom.llm import decontam, simhash, toxicity
 from eventloom.llm.queries import QUERIES
 
 ONE_ROW_EACH = {
@@ -65,6 +65,13 @@ def test_repeated_ids_leave_one_row(spark, odd_dir):
     assert len(left) == len(set(left))
 
 
+def test_contaminated_rows_go_without_ids(spark):
+    item = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen"
+    docs = spark.createDataFrame([(None, f"before {item} after"), (1, f"so {item} on"), (None, "clean"), (2, None)], "doc_id long, text string")
+    left = decontam.drop_contaminated(docs, spark.createDataFrame([(None, item), (None, None)], "item_id long, text string"))
+    assert sorted(left.collect(), key=str) == [(2, None), (None, "clean")]
+
+
 FULL = "/root/testdata/sf0.01"
 
 
