@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licenses, mixing, pages, quality, secrets, simhash, tokenfile, toxicity, vectors
+from . import decontam, licenses, mixing, pages, quality, runs, secrets, simhash, tokenfile, toxicity, vectors
 
 QUERIES = {}
 ORACLE: dict[str, str] = {}
@@ -95,3 +95,56 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
     return tokenfile.token_file(table(spark, sf_dir, "documents"), vocabulary)
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", runs.with_planted_tail(F.col("doc_id"), F.col("text")).alias("text")
+    )
+    found = docs.select("doc_id", runs.runs(F.col("text")).alias("found"))
+    listed, best = F.col("found.runs"), F.col("best")
+    return found.withColumn("best", runs.strongest(listed)).select(
+        "doc_id",
+        F.size(listed).cast("long").alias("n_runs"),
+        best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        F.sha2(runs.digest(listed), 256).alias("runs_sha256"),
+        F.sha2("found.collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+#: The unsigned crc32 of a string's UTF-8 bytes, in DuckDB: ``{0}`` is the string, ``crc_table.crcs`` the table.
+CRC_TABLE = """crc_table as (
+  select list_transform(range(256), lambda b: list_reduce(list_prepend(b::ubigint, list_transform(range(8), lambda i: 0::ubigint)),
+    lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384::ubigint) else c >> 1 end)) crcs)"""
+CRC = """xor(list_reduce(list_prepend(4294967295::ubigint, list_transform(range(octet_length(encode({0}))),
+    lambda i: ('0x' || substr(hex(encode({0})), (2 * i + 1)::int, 2))::ubigint)),
+    lambda c, b: xor(c >> 8, crcs[((xor(c, b) & 255) + 1)::bigint])), 4294967295::ubigint)"""
+
+# Pairs of equal words up to a third of the text apart, in stretches of one distance.
+ORACLE["op11_periodic_runs"] = rf"""
+with {CRC_TABLE},
+texts as (select doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) words,
+    {CRC.format("doc_id::varchar")}::bigint h from documents, crc_table),
+planned as (select *, len(words) n, h // 10 g from texts),
+docs as (select doc_id, case when h % 10 = 0 and n > 0 then
+    list_transform(range(n), lambda i: words[1 + case when i < g % n then i
+      else g % n + (i - g % n) % (1 + (n - g % n) // (3 + g % 8)) end]) else words end words from planned),
+places as (select doc_id, unnest(words) w, unnest(range(len(words))) i, len(words) n from docs),
+same as (select x.doc_id, y.i - x.i q, x.i from places x join places y
+    on x.doc_id = y.doc_id and x.w = y.w and y.i > x.i and 3 * (y.i - x.i) <= x.n),
+islands as (select doc_id, q, min(i) s, count(*) + q len from (
+    select *, i - row_number() over (partition by doc_id, q order by i) island from same) group by doc_id, q, island),
+runs as (select doc_id, s, len, min(q) q from islands where len >= 24 and len >= 3 * q group by doc_id, s, len),
+best as (select * from runs qualify row_number() over (partition by doc_id order by len / q desc, s, q) = 1),
+listed as (select doc_id, count(*) n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' order by s, q) lines
+    from runs group by doc_id),
+dropped as (select distinct doc_id, unnest(range(s + q, s + len)) i from runs),
+kept as (select p.doc_id, string_agg(w, ' ' order by p.i) body from places p left join dropped d
+    on d.doc_id = p.doc_id and d.i = p.i where d.i is null group by p.doc_id)
+select docs.doc_id, coalesce(n_runs, 0) n_runs, best.s as start, best.len as length, best.q as period,
+    1000 * best.len // best.q as exponent_milli, sha256(coalesce(lines, '')) runs_sha256,
+    sha256(coalesce(body, '')) collapsed_sha256
+from docs left join listed using (doc_id) left join best using (doc_id) left join kept using (doc_id)
+"""
