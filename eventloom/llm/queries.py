@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licenses, mixing, pages, quality, runs, secrets, simhash, tokenfile, toxicity, vectors
+from . import decontam, licenses, mixing, pages, quality, runs, secrets, simhash, spelling, tokenfile, toxicity, vectors
 
 QUERIES = {}
 ORACLE: dict[str, str] = {}
@@ -148,3 +148,33 @@ select docs.doc_id, coalesce(n_runs, 0) n_runs, best.s as start, best.len as len
     sha256(coalesce(body, '')) collapsed_sha256
 from docs left join listed using (doc_id) left join best using (doc_id) left join kept using (doc_id)
 """
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), spoiled=spelling.SPOILED)
+
+
+# Words one edit apart share the rest of the word without the letter at one place.
+ORACLE["op13_spelling_variants"] = rf"""
+with recursive {CRC_TABLE},
+texts as (select doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) w from documents),
+lowered as (select doc_id, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') w, count(*) n
+    from texts group by 1, 2),
+hashed as (select w, n, length(w) l, {CRC.format("(doc_id || ':' || w)")}::bigint h from lowered, crc_table),
+counted as (select case when h % 97 = 0 then left(w, (h % l)::int) || substr(w, (h % l)::int + 2) else w end w, n from hashed),
+words as (select w, sum(n)::bigint n from counted where length(w) >= 5 group by w having sum(n) >= 3),
+rests as (select w, n, p, left(w, p - 1) || substr(w, p + 1) rest from (select w, n, unnest(range(1, length(w) + 1))::int p from words)),
+pairs as (
+  select distinct a.w, b.w near, b.n from rests a join rests b on a.p = b.p and a.rest = b.rest and a.w <> b.w
+  union select a.w, b.w, b.n from rests a join words b on a.rest = b.w
+  union select b.w, a.w, a.n from rests a join words b on a.rest = b.w),
+best as (select w, count(*) n_near, first(near order by n desc, near) near, max(n) near_n from pairs group by w),
+forms as (select words.w, words.n, coalesce(n_near, 0) n_near,
+    case when near_n >= 2 * words.n then near end form, case when near_n >= 2 * words.n then near_n end form_n
+    from words left join best using (w)),
+walk as (select w, w as at_word from forms
+    union all select walk.w, forms.form from walk join forms on forms.w = walk.at_word where forms.form is not null),
+ends as (select walk.w, at_word from walk join forms on forms.w = walk.at_word where forms.form is null)
+select forms.w word, form, at_word root, n, n_near, form_n from forms join ends using (w)
+"""
