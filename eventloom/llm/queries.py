@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licenses, mixing, pages, quality, runs, secrets, simhash, spelling, tokenfile, toxicity, vectors
+from . import decontam, licenses, mixing, pages, quality, repeats, runs, secrets, simhash, spelling, tokenfile, toxicity, vectors
 
 QUERIES = {}
 ORACLE: dict[str, str] = {}
@@ -178,3 +178,22 @@ walk as (select w, w as at_word from forms
 ends as (select walk.w, at_word from walk join forms on forms.w = walk.at_word where forms.form is null)
 select forms.w word, form, at_word root, n, n_near, form_n from forms join ends using (w)
 """
+
+
+@query
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.without_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE["op12_substring_dedup"] = r"""
+with docs as (select doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) words from documents),
+places as (select doc_id, words, unnest(range(1, len(words) - 11)) p from docs),
+windows as (select doc_id, p, list_slice(words, p, p + 12) w from places),
+firsts as (select w, min(doc_id) least from windows group by w),
+covered as (select distinct doc_id, unnest(range(p, p + 13)) p from windows join firsts using (w) where doc_id > least),
+every_word as (select doc_id, unnest(words) w, unnest(range(1, len(words) + 1)) p from docs),
+kept as (select doc_id, string_agg(w, ' ' order by p) body, count(*) n from every_word anti join covered using (doc_id, p) group by doc_id)
+select doc_id, len(words) n_words, len(words) - coalesce(n, 0) n_removed, sha256(coalesce(body, '')) kept_sha256
+from docs left join kept using (doc_id)
+"""
