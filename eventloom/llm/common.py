@@ -19,15 +19,22 @@ WORD = r"[^\x20\x09-\x0D]+"
 ROW = "_row_"
 
 
+#: Longer pieces are not remembered: they seldom come again.
+LONGEST = 64
+#: Bytes of keys and values that a memo holds, besides what an entry costs itself.
+ROOM = 64 << 20
+
+
 class Memo(dict):
-    """Remembers ``make(key)`` for the first ``most`` keys; later ones are made anew.
+    """Remembers ``make(key)`` for the first ``most`` keys of ``LONGEST`` characters or
+    fewer, up to ``ROOM`` bytes of them; other ones are made anew.
 
     Frequent words come early, so a full memo still answers most lookups.
     """
 
     def __init__(self, make: Callable[[str], bytes], most: int):
         super().__init__()
-        self._make, self._most = make, most
+        self._make, self._most, self._room = make, most, ROOM
 
     def claim(self) -> None:
         """Make this the worker's only filled memo: workers outlive stages, and
@@ -37,10 +44,16 @@ class Memo(dict):
             release()
             _filled = self
 
+    def clear(self) -> None:
+        super().clear()
+        self._room = ROOM
+
     def __missing__(self, key: str) -> bytes:
         value = self._make(key)
-        if len(self) < self._most:
+        if len(self) < self._most and len(key) <= LONGEST and self._room > 0:
             self[key] = value
+            # Up to four bytes a character.
+            self._room -= 4 * len(key) + len(value)
         return value
 
 

@@ -13,6 +13,9 @@ Payload of a chunk: for each block a header of two little-endian 32-bit numbers
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -20,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -67,25 +70,55 @@ def pack_chunk(ids: np.ndarray) -> bytes:
     return b"".join(pack_block(ids[a : a + BLOCK], compressor) for a in range(0, len(ids), BLOCK))
 
 
-class Encoder:
-    """Ids of texts, remembered for the pieces between blanks and line ends.
+#: How byte-level tokenizers part a text, written out for texts up to U+00FF.
+_L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+PARTS = re.compile(
+    f"'(?:s|t|re|ve|m|ll|d)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
+)
+
+
+def _byte_names() -> dict[int, str]:
+    """Byte-level name of each byte: printable ones name themselves, the others follow U+00FF in order."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+def _is_latin(text: str) -> bool:
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
-    The tokenizer's own split always parts a text before a blank or line end that
-    something else than white space follows, whatever stands around it; so a
-    text's ids are those of the pieces cut there.
+
+class Encoder:
+    """Ids of texts, remembered for their parts.
+
+    A byte-level tokenizer first parts a text by a fixed pattern and then merges
+    bytes inside each part. Parts of letters up to U+00FF are cut here and go to the
+    merging model alone; what stands between blanks with other letters goes to the
+    whole tokenizer, which always parts a text before a blank or line end that
+    something else than white space follows. Texts for another kind of tokenizer are
+    encoded whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self._model = Tokenizer.from_file(path)
+        self._tokenizer = Tokenizer.from_file(path)
         # A special token's name inside a text is ordinary text.
-        self._model.encode_special_tokens = True
-        self._known = Memo(lambda piece: self._encode([piece])[0], REMEMBER)
-        # Byte-level names of the blank and the line end.
-        self._begins = np.zeros(self._model.get_vocab_size(), dtype=bool)
-        for token, number in self._model.get_vocab().items():
-            self._begins[number] = token[0] in "\u0120\u010a"
+        self._tokenizer.encode_special_tokens = True
+        self._merge = self._tokenizer.model.tokenize
+        self._names = _byte_names()
+        self._known = Memo(self._part, REMEMBER)
+        plan = json.loads(self._tokenizer.to_str())
+        first = plan["pre_tokenizer"] or {}
+        self._parted = plan["normalizer"] is None and (
+            first.get("type"), first.get("use_regex"), first.get("add_prefix_space")
+        ) == ("ByteLevel", True, False)
 
     @staticmethod
     def pieces(text: str) -> list[str]:
@@ -99,43 +132,35 @@ class Encoder:
                 mark = " "
         return out
 
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        """Ids of new pieces. Pieces of one word each are encoded as one text and
-        told apart by the token that begins with their blank or line end."""
-        plain = [p for p in pieces if p[:1] in (" ", "\n") and len(p) > 1 and p[1:].split() == [p[1:]]]
-        found = {}
-        if plain:
-            ids = np.array(self._model.encode("".join(plain), add_special_tokens=False).ids, dtype="<u4")
-            starts = np.flatnonzero(self._begins[ids])
-            if len(starts) == len(plain):
-                found = dict(zip(plain, (x.tobytes() for x in np.split(ids, starts[1:]))))
-        rest = [p for p in pieces if p not in found]
-        for piece, one in zip(rest, self._model.encode_batch(rest, add_special_tokens=False)):
-            found[piece] = np.array(one.ids, dtype="<u4").tobytes()
-        return [found[p] for p in pieces]
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        cut = [self.pieces(t) if t else [] for t in texts]
-        known = self._known
-        known.claim()
-        missing = list({p for pieces in cut for p in pieces if p not in known})
-        look = known
-        if missing:
-            fresh = dict(zip(missing, self._encode(missing)))
-            if len(known) + len(fresh) <= REMEMBER:
-                known.update(fresh)
-            else:  # full: frequent pieces came early, the others are encoded anew
-                look = {**fresh, **{p: known[p] for pieces in cut for p in pieces if p in known}}
-        return [np.frombuffer(b"".join(map(look.__getitem__, pieces)), dtype="<u4") for pieces in cut]
+    def parts(self, text: str) -> list[str]:
+        """Stretches of the text that are encoded on their own."""
+        if not self._parted:
+            return [text]
+        if _is_latin(text):
+            return PARTS.findall(text)
+        return [part for piece in self.pieces(text) for part in (PARTS.findall(piece) if _is_latin(piece) else [piece])]
+
+    def _part(self, part: str) -> bytes:
+        if self._parted and _is_latin(part):
+            named = part.encode().decode("latin-1").translate(self._names)
+            ids = [token.id for token in self._merge(named)]
+        else:
+            ids = self._tokenizer.encode(part, add_special_tokens=False).ids
+        return np.array(ids, dtype="<u4").tobytes()
+
+    def encode(self, text: str | None) -> np.ndarray:
+        self._known.claim()
+        parts = self.parts(text) if text else []
+        return np.frombuffer(b"".join(map(self._known.__getitem__, parts)), dtype="<u4")
 
 
 _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """The worker's encoder for a vocabulary file."""
+    """The worker's encoder for a vocabulary file, where the driver has it or as shipped by :func:`write_ids`."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Encoder(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)))
     return _encoders[path]
 
 
@@ -162,17 +187,16 @@ def _chunks(rows: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
                 ["part", "chunk", "n_ids", "docs", "payload"],
             )
 
+        encode = encoder(vocabulary).encode
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                some = batch.slice(at, 64)
-                found = encoder(vocabulary).encode(some.column(1).to_pylist())
-                for doc, ids in zip(some.column(0).to_pylist(), found):
-                    held += [ids, end]
-                    docs.append((doc, len(ids) + 1))
-                    size += len(ids) + 1
-                    if size >= CHUNK_IDS:
-                        yield flush()
-                        docs, held, size, chunk = [], [], 0, chunk + 1
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ids = encode(text.as_py())
+                held += [ids, end]
+                docs.append((doc, len(ids) + 1))
+                size += len(ids) + 1
+                if size >= CHUNK_IDS:
+                    yield flush()
+                    docs, held, size, chunk = [], [], 0, chunk + 1
         if docs:
             yield flush()
 
@@ -185,14 +209,17 @@ def write_ids(
     """Write all texts' ids, each followed by ``end_id``, in ascending id order.
 
     Null and empty texts give the end id alone. Rows without id come first; rows
-    that share an id follow each other, ordered by their text. An empty table
+    that share an id follow each other, ordered by a hash of their text. An empty table
     gives an empty file. The texts are sorted before they are encoded: one pass
     encodes, packs and writes.
     """
     spark = df.sparkSession
     rows = df.select(q(id_column).cast("long").alias("doc_id"), q(text_column).alias("text"))
     wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(wide, "doc_id").sortWithinPartitions("doc_id", "text")
+    # The hash parts rows that share an id, or have none, over several tasks.
+    keys = [F.col("doc_id"), F.xxhash64("text")]
+    ordered = rows.repartitionByRange(wide, *keys).sortWithinPartitions(*keys, "text")
+    spark.sparkContext.addFile(vocabulary)
     _chunks(ordered, vocabulary, end_id).write.parquet(f"{path}/chunks")
     sizes = spark.read.parquet(f"{path}/chunks").select("part", "chunk", "n_ids", F.size("docs").alias("n_docs"))
     # One row for each sorted part comes to the driver: as many as the sort had partitions.
