@@ -3,11 +3,16 @@
 Every document of a source should be copied target / size times. Whole copies
 are given out at once; the fractions left are paired, and words are moved from
 one fraction to the other at random until one of the two is 0 or 1. A move keeps
-the pair's sum of words, and the expected share of each. Pairs meet inside
-buckets of bounded size, largest documents first, so that the one fraction a
-bucket leaves is of a small document; it goes up a tree of merged buckets, 64 at
-a time. The last fraction of a source goes to the nearer of 0 and 1: the source
-ends within half of that one document of its target.
+the pair's sum of words, and the expected share of each.
+
+Pairs are of like size: inside buckets of bounded size, classes of sizes within a
+power of two are paired one after another, the largest first. The one fraction that
+a class leaves is rounded at random, and the words it is then over or short are
+taken from or given to the shares of all smaller documents of the bucket, in
+proportion, before those are paired. Where the smaller ones cannot take them up it
+stays a fraction. What is left goes up a tree of merged buckets, ``FAN_IN`` at a
+time. In the last bucket each fraction goes the way that the smaller ones can make
+good best, so a source ends within the size of its smallest fractions of its target.
 """
 
 from __future__ import annotations
@@ -17,10 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import q
+from ..operators.ordering import with_position
 from ..session import pin
 from .common import ROW, by_group, column, word_count
 
@@ -41,8 +47,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
     times its size; the rest is shared again by weight until none is above.
     Only totals come to the driver, one row per round.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())  # one small row per source
-    ranked = sizes.withColumn("source_no", F.row_number().over(order) - 1)
+    named = sizes.withColumn("missing", F.col("source").isNull())
+    ranked = with_position(named, [], ["missing", "source"], "source_no").drop("missing")
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("source_no") % len(weights) + 1).cast("int"))
     ranked = pin(ranked.withColumn("weight", weight), "sources")
     cap = F.col("source_size") * most
@@ -72,34 +78,61 @@ def _draws(keys: np.ndarray, salt: int) -> np.ndarray:
     return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype("f8") / 2.0**53
 
 
-def pivot(shares: np.ndarray, sizes: np.ndarray, draws: np.ndarray, last: bool) -> np.ndarray:
-    """Round ``shares`` to 0 or 1, keeping the sum of share x size; the one share
-    that may be left stays as it is, or goes to the nearer number where ``last``."""
-    out = shares.copy()
+def pivot(shares: np.ndarray, sizes: np.ndarray, draws: np.ndarray) -> int:
+    """Round ``shares`` to 0 or 1 in place, keeping the sum of share x size; the place
+    of the one share that may be left, or -1."""
     held = -1
-    for i in range(len(out)):
-        if not 0.0 < out[i] < 1.0:
-            continue
+    for i in np.flatnonzero((shares > 0) & (shares < 1)).tolist():
         if held < 0:
             held = i
             continue
         ratio = sizes[held] / sizes[i]
-        up = min(1.0 - out[held], out[i] / ratio)
-        down = min(out[held], (1.0 - out[i]) / ratio)
+        up = min(1.0 - shares[held], shares[i] / ratio)
+        down = min(shares[held], (1.0 - shares[i]) / ratio)
         if draws[i] * (up + down) < down:
-            full = up == 1.0 - out[held]
-            other = out[i] - up * ratio
-            out[held], out[i] = (1.0, min(max(other, 0.0), 1.0)) if full else (out[held] + up, 0.0)
+            full = up == 1.0 - shares[held]
+            other = shares[i] - up * ratio
+            shares[held], shares[i] = (1.0, min(max(other, 0.0), 1.0)) if full else (shares[held] + up, 0.0)
         else:
-            empty = down == out[held]
-            other = out[i] + down * ratio
-            out[held], out[i] = (0.0, min(max(other, 0.0), 1.0)) if empty else (out[held] - down, 1.0)
-        if 0.0 < out[i] < 1.0:
+            empty = down == shares[held]
+            other = shares[i] + down * ratio
+            shares[held], shares[i] = (0.0, min(max(other, 0.0), 1.0)) if empty else (shares[held] - down, 1.0)
+        if 0.0 < shares[i] < 1.0:
             held = i
-        elif not 0.0 < out[held] < 1.0:
+        elif not 0.0 < shares[held] < 1.0:
             held = -1
-    if last and held >= 0:
-        out[held] = 1.0 if out[held] >= 0.5 else 0.0
+    return held
+
+
+def round_bucket(shares: np.ndarray, sizes: np.ndarray, draws: np.ndarray, last: bool) -> np.ndarray:
+    """Round the shares of documents that stand by falling size; what the smaller
+    ones cannot make good stays a fraction, unless this is the ``last`` bucket."""
+    out = shares.astype("f8")
+    classes = np.frexp(sizes)[1]
+    starts = np.flatnonzero(np.r_[len(out) > 0, classes[1:] != classes[:-1]])
+    for first, end in zip(starts.tolist(), [*starts[1:].tolist(), len(out)]):
+        held = pivot(out[first:end], sizes[first:end], draws[first:end])
+        if held < 0:
+            continue
+        held += first
+        share, size = out[held], sizes[held]
+        rest, weight = out[end:], sizes[end:]
+        open_ = (rest > 0) & (rest < 1)
+        can_give = float((rest * weight)[open_].sum())
+        can_take = float(((1 - rest) * weight)[open_].sum())
+        # Words that stay over or short if the share goes up or down.
+        over, short = (1 - share) * size - can_give, share * size - can_take
+        if over <= 0 and short <= 0:
+            full = draws[held] < share
+        elif last:
+            full = max(over, 0.0) < max(short, 0.0) or (over == short and share >= 0.5)
+        else:
+            continue
+        out[held] = float(full)
+        if full and can_give:
+            rest[open_] *= max(0.0, 1 - (1 - share) * size / can_give)
+        elif not full and can_take:
+            rest[open_] += (1 - rest[open_]) * min(1.0, share * size / can_take)
     return out
 
 
@@ -110,7 +143,7 @@ def _round_groups(level: int, last: bool):
         source, bucket = column(table, "source_no"), column(table, "bucket")
         starts = np.flatnonzero(np.r_[True, (source[1:] != source[:-1]) | (bucket[1:] != bucket[:-1])])
         for a, b in zip(starts, [*starts[1:], len(shares)]):
-            shares[a:b] = pivot(shares[a:b], sizes[a:b], draws[a:b], last)
+            shares[a:b] = round_bucket(shares[a:b], sizes[a:b], draws[a:b], last)
         at = table.column_names.index("share")
         yield from table.set_column(at, "share", pa.array(shares)).to_batches()
 
@@ -128,51 +161,67 @@ def mix(
     ``source_size``, ``target`` and ``copies``.
 
     A row's draws come from a hash of its id, size and text, so reruns and other
-    partitionings agree; ids should name rows, since rows alike in all three
-    meet in one bucket. Null is a source of its own. Texts without words, null
-    ones included, get no copies; a source of such texts has target 0. An empty
-    table gives an empty result.
+    partitionings agree; rows alike in all three may change places. Null is a
+    source of its own. Texts without words, null ones included, get no copies; a
+    source of such texts has target 0. An empty table gives an empty result.
     """
-    rows = df.select(
-        F.struct(*[q(c) for c in (df.columns if keep is None else keep)]).alias(ROW),
-        q(source_column).alias("source"),
-        word_count(q(text_column)).alias("size"),
-        F.xxhash64(q(id_column), q(text_column), F.lit(SEED)).alias("key"),
+    # Written once: the rounding moves row numbers and sizes, the rows are joined back.
+    rows = pin(
+        df.select(
+            F.struct(*[q(c) for c in (df.columns if keep is None else keep)]).alias(ROW),
+            q(source_column).alias("source"),
+            word_count(q(text_column)).alias("size"),
+            F.xxhash64(q(id_column), q(text_column), F.lit(SEED)).alias("key"),
+            F.monotonically_increasing_id().alias("row_no"),
+        ),
+        "rows",
     )
-    sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
-    sums = pin(sums, "sizes")
-    n = sums.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    targets = source_targets(sums.select("source", "source_size"))
+    sums = pin(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "sizes")
+    targets = source_targets(sums)
     targets = pin(targets.withColumnRenamed("source", "named"), "targets")
-    buckets = max(1, math.ceil(n / BUCKET_ROWS))
     times = F.when(F.col("size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    joined = rows.join(targets, F.col("source").eqNullSafe(F.col("named"))).drop("source", "named")
-    table = joined.withColumn("times", times).select(
-        *[c for c in rows.columns if c != "source"],
-        "source_size", "target", "source_no",
-        F.floor("times").cast("long").alias("whole"),
-        (F.col("times") - F.floor("times")).alias("share"),
-        F.pmod("key", F.lit(buckets)).alias("bucket"),
-        (-F.col("size")).alias("falling"),
-    )
+    narrow = rows.drop(ROW).join(targets, F.col("source").eqNullSafe(F.col("named"))).withColumn("times", times)
+    narrow = narrow.withColumn("share", F.col("times") - F.floor("times"))
+    fractions = narrow.where("share > 0").select("row_no", "key", "size", "source_no", "share")
+    rounded = _rounded(fractions)
+    # Rows of a source with a whole number of copies were in no bucket.
+    up = rows.join(rounded, "row_no", "left").join(targets, F.col("source").eqNullSafe(F.col("named")))
+    copies = F.floor(times).cast("long") + F.coalesce(F.col("share"), F.lit(0.0)).cast("long")
+    return up.select(ROW, "size", "source_size", "target", copies.alias("copies"))
+
+
+def _rounded(fractions: DataFrame) -> DataFrame:
+    """(``row_no``, ``share``) with shares of 0 and 1."""
+    often = pin(fractions.groupBy("key").count().where("count > 1").select("key"), "often")
+    if often.isEmpty():
+        placed = fractions.withColumn("turn", F.lit(0).cast("long"))
+    else:  # equal keys are told apart by their number, so that they spread over buckets
+        again = with_position(fractions.join(often, "key", "left_semi"), ["key"], ["row_no"], "turn")
+        placed = fractions.join(often, "key", "left_anti").withColumn("turn", F.lit(0).cast("long")).unionByName(again)
+    n = fractions.count()
+    buckets = max(1, math.ceil(n / BUCKET_ROWS))
+    draw = F.xxhash64("key", "turn")
+    table = placed.select(
+        "row_no", draw.alias("key"), "size", "source_no", "share",
+        F.pmod(draw, F.lit(buckets)).alias("bucket"), (-F.col("size")).alias("falling"),
+    )
     done: list[DataFrame] = []
     level = 0
     while True:
         last = buckets == 1
         step = by_group(table, ["source_no", "bucket"], ["falling", "key"], _round_groups(level, last), table.schema)
         step = pin(step, "rounded")
+        open_ = (F.col("share") > 0) & (F.col("share") < 1)
+        done.append(step.where(~open_).select("row_no", "share"))
         if last:
-            done.append(step)
             break
-        open_ = (F.col("share") > 0) & (F.col("share") < 1)
-        done.append(step.where(~open_))
         buckets = math.ceil(buckets / FAN_IN)
         table = step.where(open_).withColumn("bucket", F.col("bucket") % buckets)
         level += 1
     out = done[0]
     for more in done[1:]:
         out = out.unionAll(more)
-    return out.select(ROW, "size", "source_size", "target", (F.col("whole") + F.col("share").cast("long")).alias("copies"))
+    return out
 
 
 def repeat_to_targets(df: DataFrame, source_column: str = "source", text_column: str = "text", id_column: str = "doc_id") -> DataFrame:

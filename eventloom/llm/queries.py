@@ -75,8 +75,8 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), keep=["doc_id", "source"])
     return mixed.select(
-        "_row_.doc_id", "_row_.source", "size", "source_size", "target", "copies",
-        (F.col("copies") * F.col("size")).alias("taken"),
+        "_row_.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"),
+        "_row_.source", "copies",
     )
 
 
