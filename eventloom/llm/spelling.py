@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import q
+from ..operators.ordering import spread
 from ..session import drop_scratch, pin, pin_at
 from .common import by_group, column, group_starts, release
 
@@ -156,8 +157,10 @@ def _routed(words: DataFrame, levels: list[DataFrame]) -> DataFrame:
         # A letter that has been raised or lowered has a known count from there on.
         free = (F.col("up") != F.col("letter")) & (F.col("down") != F.col("letter"))
         at_most, at_least = count < F.col("least"), count >= F.col("least")
+        # Of two words of one length, that with the later letter asks.
         raised = free & (F.col("up") == "") & (count + 1 == F.col("least"))
-        lowered = free & (F.col("down") == "") & (count == F.col("least"))
+        raised &= F.col("down").isin("", "-") | (F.col("letter") < F.col("down"))
+        lowered = free & (F.col("down") == "") & (count == F.col("least")) & (F.col("up") < F.col("letter"))
 
         def to(way: int, reached: Column, moved: Column, up: Column, down: Column) -> Column:
             return F.when(
@@ -232,10 +235,14 @@ def _candidates(data: np.ndarray, asked: np.ndarray, longer: bool) -> Iterator[t
         open_nodes += [(own[right], who), (own[~right], who)]
 
 
-def _one_edit(data: np.ndarray, asked: np.ndarray) -> np.ndarray:
-    """Whether words of two equally long tables, row by row, are one edit apart."""
-    if data.shape[1] == asked.shape[1]:
-        return (data != asked).sum(axis=1) == 1
+def _one_edit(data: np.ndarray, asked: np.ndarray, replaced: bool) -> np.ndarray:
+    """Whether words of two tables, row by row, are one edit apart. Of two words of
+    one length, only that with the later letter finds the other."""
+    if replaced:
+        apart = data != asked
+        at = apart.argmax(axis=1)[:, None]
+        earlier = np.take_along_axis(data, at, 1) < np.take_along_axis(asked, at, 1)
+        return (apart.sum(axis=1) == 1) & earlier[:, 0]
     size = asked.shape[1]
     first = np.logical_and.accumulate(data[:, :size] == asked, axis=1).sum(axis=1)
     last = np.logical_and.accumulate((data[:, 1:] == asked)[:, ::-1], axis=1).sum(axis=1)
@@ -260,22 +267,24 @@ def _near_in_leaf(table: pa.Table) -> Iterator[pa.RecordBatch]:
             who = leaf.slice(int(a), int(b - a))
             who_words, who_n = who.column("word").to_pylist(), column(who, "n")
             who_codes = _codes(who_words, size - kind + 1)
-            for own, asked in _candidates(counts, _letter_counts(who_codes), kind == 2):
-                good = _one_edit(codes[own], who_codes[asked])
-                own, asked = own[good], asked[good]
-                if not len(own):
-                    continue
-                left, right = [held_words[i] for i in own], [who_words[i] for i in asked]
-                # Words of one length ask for each other; shorter ones ask for both.
-                both = (left + right, right + left, np.concatenate((who_n[asked], held_n[own])))
-                word, near, n = both if kind == 2 else (right, left, held_n[own])
-                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(near), pa.array(n)], ["word", "near", "near_n"])
+            good = [
+                (own[ok], asked[ok])
+                for own, asked in _candidates(counts, _letter_counts(who_codes), kind == 2)
+                for ok in [_one_edit(codes[own], who_codes[asked], kind == 1)]
+                if ok.any()
+            ]
+            if not good:
+                continue
+            own, asked = (np.concatenate(x) for x in zip(*good))
+            left, right = [held_words[i] for i in own], [who_words[i] for i in asked]
+            pairs = [pa.array(left + right), pa.array(right + left), pa.array(np.concatenate((who_n[asked], held_n[own])))]
+            yield pa.RecordBatch.from_arrays(pairs, ["word", "near", "near_n"])
 
 
 def near_words(words: DataFrame) -> DataFrame:
     """Pairs (``word``, ``near``, ``near_n``), both ways, of a table of different words."""
     placed, levels = _placed(words)
-    asked = _routed(placed.select("word", "n"), levels)
+    asked = _routed(spread(placed.select("word", "n")), levels)
     shorter = (F.char_length("word") < F.col("size")).cast("int") + 1
     rows = placed.select("size", "path", F.lit(0).alias("asks"), "word", "n").unionAll(
         asked.select("size", "path", shorter.alias("asks"), "word", "n")
