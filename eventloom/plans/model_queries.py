@@ -198,5 +198,15 @@ def m13_embed(spark, d):
 
 @query("M14_cluster_by_method")
 def m14(spark, d):
+    """The dispatcher with each of its methods; cluster sizes by method."""
     points = cells(spark, d).select(*KEY, "x", "y")
-    return _counted(density.cluster(points, "GMM", 5, covariance_type="diag"), "cluster")
+    calls = {
+        "GMM": {"n_clusters": 5, "covariance_type": "diag"},
+        "KMeans": {"n_clusters": 5},
+        "HDBSCAN": {"min_cluster_size": 100, "min_samples": 5},
+    }
+    sizes = [
+        _counted(density.cluster(points, method, **options), "cluster").withColumn("method", F.lit(method))
+        for method, options in calls.items()
+    ]
+    return sizes[0].unionByName(sizes[1]).unionByName(sizes[2]).select("method", "cluster", "n")

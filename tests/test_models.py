@@ -92,7 +92,7 @@ def test_mixture(spark, planar, kind):
 
 
 def test_density_clusters(spark, planar):
-    out = density.hdbscan(planar, min_cluster_size=40, min_samples=8, levels=10).toPandas()
+    out = density.hdbscan(planar, min_cluster_size=40, min_samples=8).toPandas()
     table = pd.crosstab(out["truth"], out["cluster"])
     real = table.drop(columns=-1, errors="ignore")
     assert real.shape[1] == 3
