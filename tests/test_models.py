@@ -58,13 +58,34 @@ def test_blocked_graph_recall_and_copies(spark):
     x = rng.normal(size=(3000, 4))
     x[:1000] = 0.5  # a third of all points are copies
     df = spark.createDataFrame(pd.DataFrame({"id": np.arange(3000), "vec": list(x)})).repartition(3)
-    got = graph.nearest_neighbours(df, 5, orders=6, block=400, exact_below=1000).toPandas()
+    got = graph.nearest_neighbours(df, 5, orders=2, block=200).toPandas()
     assert len(got) == 3000 and got["pairs"].map(len).min() == 5
     have = {r.src: [p["d"] for p in r.pairs] for r in got.itertuples()}
     assert max(max(have[i]) for i in range(1000)) == 0.0
     _, want = exact_neighbours(x, 5)
     hits = np.mean([have[i][4] <= want[i, 4] + 1e-9 for i in range(1000, 3000)])
-    assert hits > 0.8
+    assert hits > 0.9
+    share = np.mean([np.mean([d <= want[i, 4] + 1e-9 for d in have[i]]) for i in range(3000)])
+    assert got["recall"].nunique() == 1 and got["recall"][0] >= graph.RECALL
+    assert abs(got["recall"][0] - share) < 0.03
+
+
+def test_audit_counts_lost_neighbours(spark):
+    x = np.random.default_rng(8).normal(size=(400, 3))
+    df = spark.createDataFrame(pd.DataFrame({"src": np.arange(400), "vec": list(x)}))
+    near, dist = exact_neighbours(x, 6)
+    rows = [(i, [(float(d), int(j)) for d, j in zip(dist[i], near[i])][: 6 - i % 3]) for i in range(400)]
+    table = spark.createDataFrame(rows, "src long, pairs array<struct<d:double,dst:long>>")
+    got = {r["src"]: r for r in graph.audit(df, table, 6, "euclidean", n=100).collect()}
+    assert len(got) == 100
+    for i, row in got.items():
+        assert row["recall"] == pytest.approx((6 - i % 3) / 6) and row["reach"] == pytest.approx(dist[i, 5])
+
+
+def test_graphs_of_no_and_one_point(spark):
+    df = spark.createDataFrame([(1, [0.0, 1.0])], "id long, vec array<double>")
+    assert graph.nearest_neighbours(df, 3).collect() == []
+    assert graph.nearest_neighbours(df.limit(0), 3).collect() == []
 
 
 def test_kmeans_and_elbow(spark, planar):
