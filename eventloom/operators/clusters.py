@@ -325,7 +325,7 @@ def limit_clusters(
 ) -> DataFrame:
     """Keep the ``n`` largest clusters' labels, collapse the rest."""
     if cluster not in df.columns:
-        raise ValueError(f"Cluster column '{cluster}' not found in DataFrame.")
+        raise ValueError(f"No labels to limit: '{cluster}' is not found among the columns.")
     numeric = isinstance(df.schema[cluster].dataType, T.NumericType)
     other = F.lit(-1 if numeric else "Other")
     kept = most_frequent(df, n, cluster).agg(F.collect_list(q(cluster)).alias("k")).scalar()

@@ -78,11 +78,11 @@ def drop_events(df: DataFrame, first: int, last: int, index: str = "Index") -> D
         F.count_if(q(index) == first).alias("first"), F.count_if(q(index) == last).alias("last")
     ).first()
     if not seen["first"]:
-        raise ValueError(f"First row '{first}' does not exist.")
+        raise ValueError(f"No event has the index {first} at which dropping starts.")
     if not seen["last"]:
-        raise ValueError(f"Last row '{last}' does not exist.")
+        raise ValueError(f"No event has the index {last} at which dropping ends.")
     if first > last:
-        raise ValueError(f"First row number '{first}' is greater than last row number '{last}'.")
+        raise ValueError(f"Events are dropped upwards, but {first} lies above {last}.")
     return df.filter(~q(index).between(first, last))
 
 

@@ -19,11 +19,8 @@ def categorical_scatter(
     """G1: points with the palette index of their factor; others get null."""
     if factors is None:
         palette = factor_index(df, column)
-        pairs = palette.agg(
-            F.map_from_entries(F.collect_list(F.struct(q(column), "palette_index")))
-        ).scalar()
-    else:
-        pairs = F.create_map(*[F.lit(v) for i, f in enumerate(factors) for v in (f, i)])
+        return df.select("x", "y", q(column)).join(palette, column, "left").select("x", "y", q(column), "palette_index")
+    pairs = F.create_map(*[F.lit(v) for i, f in enumerate(factors) for v in (f, i)])
     return df.select("x", "y", q(column), pairs[q(column)].alias("palette_index"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import q, quoted
+from .ordering import with_position
 
 #: Names that always mean a population.
 GATE_NAMES = ("Live", "Singlet", "Dead", "Doublet", "Focused", "Viable")
@@ -92,12 +93,14 @@ def value_domain(df: DataFrame, column: str) -> DataFrame:
 
 
 def factor_index(df: DataFrame, column: str) -> DataFrame:
-    """Distinct values in order, with a 0-based palette index.
+    """Distinct values in order, with a 0-based palette index; nulls have none.
 
-    Factors are few; they are numbered inside one array.
+    The values are numbered by a range sort and the number of values in each sorted
+    part, so that no task holds them all.
     """
-    values = df.agg(F.array_sort(F.collect_set(q(column))).alias("v"))
-    return values.select(F.posexplode("v").alias("palette_index", column))
+    values = df.select(q(column).alias(column)).where(q(column).isNotNull()).distinct()
+    placed = with_position(values, [], [column], "palette_index")
+    return placed.select(F.col("palette_index").cast("int").alias("palette_index"), q(column))
 
 
 def columns_per_file(df: DataFrame, file: str, columns: Sequence[str]) -> DataFrame:

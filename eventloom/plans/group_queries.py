@@ -84,14 +84,14 @@ def j4(spark, d):
 
 @query(
     "J5_concat_variables",
-    """with a as (select p_partkey k, p_size "Height" from part where p_retailprice < 950),
-    b as (select p_partkey k, p_retailprice "Perimeter" from part where p_size > 10)
+    """with a as (select p_partkey k, p_size "Height" from part),
+    b as (select p_partkey + 500 k, p_retailprice "Perimeter" from part)
     select coalesce(a.k, b.k) k, "Height", "Perimeter" from a full join b on a.k = b.k""",
 )
 def j5(spark, d):
     part = table(spark, d, "part")
-    a = part.filter("p_retailprice < 950").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("Height"))
-    b = part.filter("p_size > 10").select(F.col("p_partkey").alias("k"), F.col("p_retailprice").alias("Perimeter"))
+    a = part.select(F.col("p_partkey").alias("k"), F.col("p_size").alias("Height"))
+    b = part.select((F.col("p_partkey") + 500).alias("k"), F.col("p_retailprice").alias("Perimeter"))
     return joins.concat_variables(["k"], a, b)
 
 
@@ -115,14 +115,13 @@ def j6(spark, d):
 @query(
     "J8_check_sheet",
     f"""with {CELLS}, {SHEET}, a as (select distinct stem from sheet where trim("group") <> ''),
-    b as (select distinct sample_id stem from cells where l_quantity = 50 and l_discount = 0.1)
+    b as (select distinct case when sample_id like '%7' then 'lost' else '' end || sample_id stem from cells)
     select coalesce(a.stem, b.stem) stem, case when a.stem is null then 'only in data'
     when b.stem is null then 'only in sheet' else 'matched' end status from a full join b on a.stem = b.stem""",
 )
 def j8(spark, d):
-    files = cells(spark, d).filter("l_quantity = 50 and l_discount = 0.1").select(
-        F.concat("sample_id", F.lit(".fcs")).alias("file_name")
-    )
+    lost = F.when(F.col("sample_id").endswith("7"), "lost").otherwise("")
+    files = cells(spark, d).select(F.concat(lost, "sample_id", F.lit(".fcs")).alias("file_name"))
     return joins.check_sheet(filters.with_group(sheet(spark, d)), files)
 
 
@@ -210,7 +209,7 @@ def a3(spark, d):
 
 @query(
     "A4_cluster_group_grid",
-    f"""with {LABELLED}, f as (select * from labelled where trim("group") <> '' and (l_quantity < 40 or "group" = 'ASIA')),
+    f"""with {LABELLED}, f as (select * from labelled where trim("group") <> ''),
     g as (select "cluster", "group", count(*) n from f group by 1, 2)
     select k."cluster", v."group", coalesce(g.n, 0) n,
       round(coalesce(g.n * 100.0 / sum(g.n) over (partition by k."cluster"), 0), 6) pct
@@ -218,8 +217,7 @@ def a3(spark, d):
     left join g on g."cluster" = k."cluster" and g."group" = v."group\"""",
 )
 def a4(spark, d):
-    some = labelled_cells(spark, d).filter("l_quantity < 40 or `group` = 'ASIA'")
-    return rounded(clusters.cluster_group_grid(some), "pct")
+    return rounded(clusters.cluster_group_grid(labelled_cells(spark, d)), "pct")
 
 
 _SHARES = f"""with {LABELLED}, g as (select * from labelled where trim("group") <> '' and gate_o = 1),
@@ -277,7 +275,19 @@ def a13(spark, d):
     return rounded(clusters.group_tests(_shares(spark, d), "pct"), "t")
 
 
-@query("A13_group_p_value")
+# The t density by Simpson's rule over 2000 steps from 0 to |t|.
+_P = """, places as (select *, unnest(range(2001)) i from tests),
+  heights as (select * exclude (i), i, exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi())
+    * (1 + (t * i / 2000) * (t * i / 2000) / df) ** (-(df + 1) / 2) h from places),
+  sums as (select * exclude (i, h), sum(h * case when i in (0, 2000) then 1 when i % 2 = 1 then 4 else 2 end) s
+    from heights group by all),
+  ps as (select * exclude (s), case when t is not null then greatest(0, 1 - 2 * abs(t) / 6000 * s) end p from sums)"""
+
+
+@query(
+    "A13_group_p_value",
+    _STUDENT + _P + """ select "cluster", group1, group2, n1, n2, round(t, 6) t, df, round(p, 6) p from ps""",
+)
 def a13_p(spark, d):
     tests = clusters.with_p_value(clusters.group_tests(_shares(spark, d), "pct"))
     return rounded(tests, "t", "p")
@@ -296,9 +306,24 @@ def a14(spark, d):
     return clusters.with_significance(rows).drop("p")
 
 
-@query("A14_significant_pairs")
+@query(
+    "A14_significant_pairs",
+    f"""with {CELLS}, long as (select gate_o, "cluster", unnest([{{'v': 'x', 'n': x}}, {{'v': 'l_tax', 'n': l_tax}}, {{'v': 'l_discount', 'n': l_discount}}]) u
+      from cells), m as (select u.v || gate_o "cluster", "cluster" g, avg(u.n) m, var_samp(u.n) v, count(*) n from long group by 1, 2 having count(*) > 1),
+    tests as (select a."cluster", a.g group1, b.g group2, a.n n1, b.n n2, cast(a.n + b.n - 2 as double) df,
+      (a.m - b.m) / nullif(sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2) * (1.0 / a.n + 1.0 / b.n)), 0) t
+      from m a join m b on a."cluster" = b."cluster" and a.g < b.g)""" + _P + """
+    select "cluster", group1, group2, n1, n2, round(t, 6) t, df, round(p, 6) p,
+      case when p < 0.001 then '***' when p < 0.01 then '**' else '*' end marker from ps where p < 0.05""",
+)
 def a14_pairs(spark, d):
-    tests = clusters.with_p_value(clusters.group_tests(_shares(spark, d), "pct"))
+    """Features that differ between clusters of cells, apart by gate; and such that do not."""
+    base = cells(spark, d)
+    long = base.select("gate_o", F.col("cluster").alias("group"), "x", "l_tax", "l_discount").unpivot(
+        ["gate_o", "group"], ["x", "l_tax", "l_discount"], "feature", "value"
+    )
+    table_ = long.select(F.concat("feature", F.col("gate_o").cast("string")).alias("cluster"), "group", "value")
+    tests = clusters.with_p_value(clusters.group_tests(table_, "value"))
     return rounded(clusters.with_significance(tests), "t", "p")
 
 
@@ -329,7 +354,13 @@ def a15_holm(spark, d):
     return rounded(clusters.with_adjusted_p(rows, ["l_linenumber"]).drop("p"), "p_adj")
 
 
-@query("A15_welch_adjusted")
+@query(
+    "A15_welch_adjusted",
+    _WELCH + _P + """, r as (select *, least(1.0, (count(p) over () - row_number() over (order by p nulls last) + 1) * p) raw from ps),
+    a as (select *, case when p is not null then max(raw) over (order by p nulls last rows unbounded preceding) end p_adj from r)
+    select "cluster", group1, group2, n1, n2, round(t, 6) t, round(df, 6) df, round(p, 6) p, round(p_adj, 6) p_adj,
+      case when p_adj < 0.001 then '***' when p_adj < 0.01 then '**' when p_adj < 0.05 then '*' end marker from a""",
+)
 def a15_full(spark, d):
     tests = clusters.group_tests(_shares(spark, d), "pct", equal_variance=False)
     adjusted = clusters.with_adjusted_p(clusters.with_p_value(tests))
@@ -444,15 +475,21 @@ def a17(spark, d):
 
 @query(
     "A17_sample_moments",
-    f"""with {CELLS}, e as (select sample_id, x, y from cells where gate_r and gate_o = 1 and l_quantity > 30),
-    f as (select sample_id, l_tax v from cells where l_quantity > 30)
-    select 'l_tax' feature, round(abs(corr(f.v, e.x)), 5) x_impact, round(abs(corr(f.v, e.y)), 5) y_impact,
-    round(corr(f.v, e.x), 5) x_correlation, round(corr(f.v, e.y), 5) y_correlation
-    from e join f on e.sample_id = f.sample_id""",
+    f"""with {CELLS}, c as (select avg(x) mx, avg(y) my from cells where gate_r and gate_o = 1),
+    e as (select sample_id, count(*)::double m, sum(x - mx) sx, sum(y - my) sy, sum((x - mx) ** 2) sxx, sum((y - my) ** 2) syy
+      from cells, c where gate_r and gate_o = 1 group by 1),
+    t as (select avg(l_tax) mid from cells),
+    f as (select sample_id, count(*)::double n, sum(l_tax - mid) sf, sum((l_tax - mid) ** 2) sff from cells, t group by 1),
+    s as (select sum(m * n) w, sum(m * sf) f, sum(m * sff) ff, sum(n * sx) x, sum(n * sxx) xx, sum(n * sy) y, sum(n * syy) yy,
+      sum(sf * sx) fx, sum(sf * sy) fy from e join f on e.sample_id = f.sample_id),
+    r as (select (fx / w - f / w * x / w) / sqrt((ff / w - (f / w) ** 2) * (xx / w - (x / w) ** 2)) rx,
+      (fy / w - f / w * y / w) / sqrt((ff / w - (f / w) ** 2) * (yy / w - (y / w) ** 2)) ry from s)
+    select 'l_tax' feature, round(abs(rx), 5) x_impact, round(abs(ry), 5) y_impact,
+    round(rx, 5) x_correlation, round(ry, 5) y_correlation from r""",
 )
 def a17_moments(spark, d):
     """The sample-only join, from per-sample sums."""
-    base = cells(spark, d).filter("l_quantity > 30")
+    base = cells(spark, d)
     points = base.filter("gate_r and gate_o = 1").select("sample_id", "x", "y")
     found = importance.sample_correlation(points, base.select("sample_id", "l_tax"), ["l_tax"])
     return rounded(found, "x_impact", "y_impact", "x_correlation", "y_correlation", digits=5)

@@ -199,3 +199,18 @@ def test_components(spark):
     want = np.linalg.eigvalsh(np.cov(z.T.to_numpy()))[::-1]
     assert out.count() == 11
     assert shares == pytest.approx(list(want[:2] / want.sum()))
+
+
+def test_palette_of_many_values(spark):
+    from eventloom.operators import plotdata, quality
+
+    df = spark.range(200_000).selectExpr("cast(id * 7919 % 200000 as string) as f", "0D as x", "1D as y")
+    got = quality.factor_index(df, "f")
+    assert "collect_set" not in got._jdf.queryExecution().executedPlan().toString()
+    want = sorted(str(i) for i in range(200_000))
+    rows = got.where("palette_index % 20011 = 0").collect()
+    assert got.count() == 200_000 and len(rows) == 10
+    assert all(want[r["palette_index"]] == r["f"] for r in rows)
+    few = spark.createDataFrame([(0.0, 1.0, "b"), (1.0, 1.0, None), (2.0, 1.0, "a"), (3.0, 0.0, "b")], "x double, y double, f string")
+    assert sorted(r["palette_index"] for r in plotdata.categorical_scatter(few, "f").where("f is not null").collect()) == [0, 1, 1]
+    assert plotdata.categorical_scatter(few, "f").count() == 4
