@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import draw_order, finite_or_null, nan_to_null, q, quoted
+from ..session import pin
 from .ordering import first_n, spread, with_running_total
 from .schema import chosen_columns
 
@@ -147,27 +148,84 @@ def quantile_landmarks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+def _value_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(``feature``, ``value``, ``rank``): the mean 0-based rank of each value over the
+    number of values less one; 0 for the value of a column that has but one."""
+    long = df.select(*[_number(c).alias(c) for c in columns]).unpivot([], [quoted(c) for c in columns], "feature", "value")
+    counts = long.where(q("value").isNotNull()).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    ranked = with_running_total(counts, ["feature"], ["value"], "n", "start")
+    totals = ranked.groupBy("feature").agg(F.sum("n").alias("total"))
+    middle = (2 * F.col("start") + F.col("n") - 1) / 2
+    rank = F.coalesce(F.try_divide(middle, F.col("total") - 1), F.lit(0.0))
+    return ranked.join(totals, "feature").select("feature", "value", rank.alias("rank"))
+
+
+def _rank_scaled(df: DataFrame, source: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Columns replaced by the exact ranks of their values, joined back by value."""
+    ranks = pin(_value_ranks(source, columns), "ranks")
+    out = df
+    for i, c in enumerate(columns):
+        own = ranks.where(F.col("feature") == c).select(F.col("value").alias(f"_value{i}"), F.col("rank").alias(f"_rank{i}"))
+        out = out.join(own, _number(c) == F.col(f"_value{i}"), "left")
+    place = {c: i for i, c in enumerate(columns)}
+    return out.select(*[F.col(f"_rank{place[c]}").alias(c) if c in place else q(c) for c in df.columns])
+
+
+#: A sketched quantile is off by one in so many ranks at most.
+SKETCH_ACCURACY = 10_000
+
+
+def _sketched_landmarks(df: DataFrame, columns: Sequence[str]) -> dict[str, np.ndarray]:
+    """Approximate quantiles of all columns from one aggregate of mergeable sketches, after one of counts."""
+    counts = df.agg(*[F.count(_number(c)).alias(str(i)) for i, c in enumerate(columns)]).first()
+    sketches = {}
+    for i, c in enumerate(columns):
+        last = min(counts[i], LANDMARKS) - 1
+        shares = [j / last for j in range(last + 1)] if last > 0 else [0.0]
+        sketches[c] = F.percentile_approx(_number(c), shares, SKETCH_ACCURACY).alias(str(i))
+    found = df.agg(*sketches.values()).first()
+    return {c: np.asarray(found[i], dtype=float) for i, c in enumerate(columns) if found[i]}
+
+
+#: How the empirical quantiles of a column are found.
+MODES = ("landmarks", "rank", "sketch")
+
+
 def quant_scaler(
     df: DataFrame,
     first: str | None = None,
     last: str | None = None,
     subsample: int | None = None,
     keys: Sequence[str] = (),
+    mode: str = "landmarks",
 ) -> DataFrame:
     """Map columns to [0, 1] by their empirical quantiles.
 
-    ``subsample`` estimates the quantiles on that many reproducibly drawn rows
-    (identified by ``keys``); by default all rows count.
+    ``mode``: ``landmarks`` interpolates between ``LANDMARKS`` exact quantiles, ``rank``
+    takes the exact mean rank of each value, and ``sketch`` interpolates between quantiles
+    that are off by a ``SKETCH_ACCURACY``-th of the rows at most, from one sketch for each
+    column. ``subsample`` estimates the quantiles on that many reproducibly drawn rows
+    (identified by ``keys``), except for ranks; by default all rows count. Values that are
+    missing or not numbers become null.
     """
+    if mode not in MODES:
+        raise ValueError(f"Quantiles are found by one of {MODES}.")
+    if mode == "rank" and subsample:
+        raise ValueError("Ranks take all rows; a subsample lacks some of the values.")
     columns = chosen_columns(df, first, last, numeric_only=False)
     source = df
     if subsample:
         source = first_n(df, [], draw_order(keys, 0), subsample)
+    if mode == "rank":
+        return _rank_scaled(df, source, columns)
     # Bounded: columns x LANDMARKS numbers.
-    found = {
-        r["feature"]: np.asarray(r["landmarks"], dtype=float)
-        for r in quantile_landmarks(source, columns).toLocalIterator()
-    }
+    if mode == "sketch":
+        found = _sketched_landmarks(source, columns)
+    else:
+        found = {
+            r["feature"]: np.asarray(r["landmarks"], dtype=float)
+            for r in quantile_landmarks(source, columns).toLocalIterator()
+        }
 
     def rescale(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

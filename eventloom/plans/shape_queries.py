@@ -489,6 +489,35 @@ def n3(spark, d):
     return rounded(scaling.quant_scaler(base, "l_quantity", "l_tax"), *FEATURES, digits=5)
 
 
+_RANK = "round((2 * (rank() over (order by {0}) - 1) + count(*) over (partition by {0}) - 1) / 2.0 / (count(*) over () - 1), 6) {0}"
+
+
+@query(
+    "N3_rank_scaler",
+    f"with {CELLS} select cell_id, " + ", ".join(_RANK.format(c) for c in ("l_quantity", "l_extendedprice", "l_discount")) + ", l_tax from cells",
+)
+def n3_rank(spark, d):
+    base = cells(spark, d).select("cell_id", *FEATURES)
+    scaled = scaling.quant_scaler(base, "l_quantity", "l_discount", mode="rank")
+    return rounded(scaled, "l_quantity", "l_extendedprice", "l_discount")
+
+
+@query(
+    "N3_sketch_error",
+    f"with {CELLS} select 'l_extendedprice' feature, count(*) n, true near from cells",
+)
+def n3_sketch(spark, d):
+    """Sketched quantiles beside exact ranks: every row within the stated error, and what
+    two neighbouring landmarks leave between them."""
+    base = cells(spark, d).select(F.col("l_extendedprice").alias("v"), F.col("l_extendedprice").alias("w"))
+    ranked = scaling.quant_scaler(base, "v", "v", mode="rank")
+    both = scaling.quant_scaler(ranked, "w", "w", mode="sketch")
+    within = F.abs(F.col("v") - F.col("w")) <= 1 / scaling.SKETCH_ACCURACY + 1 / (scaling.LANDMARKS - 1)
+    return both.agg(F.count(F.lit(1)).alias("n"), F.bool_and(within).alias("near")).select(
+        F.lit("l_extendedprice").alias("feature"), "n", "near"
+    )
+
+
 @query(
     "N4_clip_outliers",
     f"""with {CELLS} select cell_id, round(greatest(least(l_extendedprice,

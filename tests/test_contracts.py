@@ -329,3 +329,26 @@ def test_csv_doubled_quotes(spark, tmp_path):
     df = spark.createDataFrame([('x "y" z', 1)], "name string, n int")
     csv.save_csv(df, str(tmp_path / "a"))
     assert rows(csv.read_csv(spark, str(tmp_path / "a"))) == rows(df)
+
+
+@pytest.mark.parametrize("mode", ["landmarks", "rank", "sketch"])
+def test_quantile_modes(spark, mode):
+    from eventloom.operators import scaling
+
+    rows = [(float(v), None if v == 3 else float(v * v), "t") for v in (1, 2, 3, 4, 5)]
+    df = spark.createDataFrame(rows, "a double, b double, t string").coalesce(1)
+    out = scaling.quant_scaler(df, "a", "b", mode=mode).orderBy("a").collect()
+    assert [r["a"] for r in out] == pytest.approx([0, 0.25, 0.5, 0.75, 1], abs=1e-3)
+    assert [r["b"] for r in out if r["b"] is not None] == pytest.approx([0, 1 / 3, 2 / 3, 1], abs=1e-3)
+    assert out[0]["t"] == "t" and sum(r["b"] is None for r in out) == 1
+
+
+def test_ranks_of_ties_and_single_values(spark):
+    from eventloom.operators import scaling
+
+    df = spark.createDataFrame([(0.0, 7.0), (-0.0, 7.0), (2.0, 7.0), (2.0, 7.0), (9.0, float("nan"))], "a double, b double")
+    out = scaling.quant_scaler(df, "a", "b", mode="rank").orderBy("a").collect()
+    assert [r["a"] for r in out] == [0.125, 0.125, 0.625, 0.625, 1.0]
+    assert sorted(r["b"] for r in out if r["b"] is not None) == [0.5] * 4
+    with pytest.raises(ValueError, match="one of"):
+        scaling.quant_scaler(df, "a", "b", mode="exact")
