@@ -177,11 +177,22 @@ def spans_of(text: str | None) -> list[Span]:
     if not text:
         return []
     found = base_spans(text)
-    taken = [(s.start, s.end) for s in found]
+    # Stretches of the fixed patterns, apart from each other and in order.
+    taken: list[tuple[int, int]] = []
+    for start, end in sorted((s.start, s.end) for s in found):
+        if taken and start < taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(taken[-1][1], end))
+        else:
+            taken.append((start, end))
+
+    def overlaps(start: int, end: int) -> bool:
+        at = bisect.bisect_left(taken, (end,)) - 1
+        return at >= 0 and taken[at][1] > start
+
     places = [m.span() for m in CANDIDATE.finditer(text)]
     assigned = [(s.start, s.end) for s in found if s.kind == "assign"]
     for (start, end), sensitive in zip(places, _sensitive(text, places, assigned)):
-        if not sensitive or any(a < end and start < b for a, b in taken):
+        if not sensitive or overlaps(start, end):
             continue
         piece = text[start:end]
         if _own_bits(piece) < LEAST_BITS:

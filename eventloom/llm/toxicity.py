@@ -50,7 +50,7 @@ _MASKED = re.compile(r"(?<![^\W\d_])[^\W\d_]+[0-9@$!*#]+[^\W\d_]+")
 _SPACED = re.compile(r"(?<!\w)(?:[^\W\d_][.\-_]){3,}[^\W\d_](?!\w)")
 #: Fixed value: marks behind a word.
 ENDINGS = frozenset(".,;:!?")
-_PACK = struct.Struct("<13H").pack
+_PACK = struct.Struct("<13I").pack
 #: Pieces of text whose numbers a worker remembers.
 REMEMBER = 300_000
 #: Words from a lexicon word to one that addresses the reader, at most.
@@ -69,7 +69,7 @@ class Lexicon(NamedTuple):
 
 
 def _numbers(lexicon: Lexicon) -> Callable[[str], bytes]:
-    """Counts for a piece of text without white space, as 16-bit numbers."""
+    """Counts for a piece of text without white space, as 32-bit numbers."""
 
     def make(piece: str) -> bytes:
         lower = piece.lower()
@@ -77,14 +77,14 @@ def _numbers(lexicon: Lexicon) -> Callable[[str], bytes]:
         end = lower[-1] if lower[-1] in ENDINGS else ""
         word = lower[: len(lower) - len(end)]
         if not word.isalpha():
-            return _PACK(*[min(n, 65_535) for n in counted(piece, lower)])
+            return _PACK(*counted(piece, lower))
         capitals = 0 if piece.islower() else sum(map(str.isupper, piece))
         counts = (
             1, word in lexicon.words, begins(word), word in SECOND_PERSON, capitals,
             capitals > 0 and len(word) > 2 and piece.isupper(), end == "!", end == "?",
             max(len(piece) - len(word), 0), 0, 0, 0, len(word),
         )
-        return _PACK(*counts) if len(piece) < 20_000 else _PACK(*[min(n, 65_535) for n in counts])
+        return _PACK(*counts)
 
     def begins(word: str) -> bool:
         for k in BEGINNINGS:
@@ -123,7 +123,7 @@ def features_of(text: str | None, lexicon: Lexicon) -> list[float]:
     known = _memos[lexicon]
     known.claim()
     pieces = text.split()
-    rows = np.frombuffer(b"".join(map(known.__getitem__, pieces)), dtype="<u2").reshape(-1, 13)
+    rows = np.frombuffer(b"".join(map(known.__getitem__, pieces)), dtype="<u4").reshape(-1, 13)
     words, bad, begun, second, capitals, shouted, calls, asks, marks, digits, masked, undone, letters = (
         rows.sum(axis=0, dtype="i8").tolist()
     )
