@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import io
 import os
 import tempfile
@@ -128,3 +129,13 @@ def pin_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let the shuffle files of finished jobs go.
+
+    Spark removes them once the driver has collected the plans they belong to, which
+    may be long after the disks of the executors are full.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
