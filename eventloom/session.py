@@ -6,6 +6,7 @@ import gc
 import io
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 
@@ -137,5 +138,7 @@ def release_shuffles(spark: SparkSession) -> None:
     Spark removes them once the driver has collected the plans they belong to, which
     may be long after the disks of the executors are full.
     """
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # plans are let go by the first round, their files by the second
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
