@@ -16,46 +16,89 @@ one piece of text. Copies of a whole text go through the tree once.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import q
-from ..session import pin
-from .common import Memo, by_group, release
+from ..session import pin, release_shuffles
+from .common import by_group, release
 
 #: Fixed value: words of a window.
 WINDOW = 13
 #: Words of a window's anchor.
 ANCHOR = 6
 #: Occurrences of an anchor that one task sorts at most.
-GROUP = 50_000
-#: Words whose hashes a worker remembers.
-REMEMBER = 400_000
+GROUP = 200_000
+
+#: Bytes of text that are hashed at a time.
+CHUNK = 1 << 19
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_RUNS = WINDOW - ANCHOR + 1  # runs of ANCHOR words in a window
+
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[32, *range(9, 14)]] = True
+_BYTES = np.random.default_rng(13).integers(1, 2**63, 256, dtype="u8")
+_POWERS = np.random.default_rng(17).integers(1, 2**63, 4096, dtype="u8") | np.uint64(1)
 
-_known = Memo(xxhash.xxh64_digest, REMEMBER)
 
+def _word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and a hash of each word of a piece of text.
 
-def _anchors(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """For each window, the hash of its anchor and the anchor's place."""
-    windows = len(words) - WINDOW + 1
-    if windows <= 0:
-        return np.zeros(0, dtype="i8"), np.zeros(0, dtype="i8")
-    hashes = np.frombuffer(b"".join(map(_known.__getitem__, words)), dtype="u8")
-    reach = len(words) - ANCHOR + 1
+    Hashes only deal suffixes out; the trees compare words.
+    """
+    space = _SPACE[data]
+    edges = np.flatnonzero(np.diff(np.concatenate(([True], space, [True]))))
+    starts, ends = edges[::2], edges[1::2]
+    lengths = ends - starts
+    total = np.concatenate(([0], np.cumsum(lengths)))
+    inside = np.arange(total[-1]) - np.repeat(total[:-1], lengths)
+    letters = _BYTES[data[~space]] * _POWERS[inside & (len(_POWERS) - 1)]
+    sums = np.concatenate((np.zeros(1, dtype="u8"), np.cumsum(letters)))
+    return starts, sums[total[1:]] - sums[total[:-1]] + lengths.astype("u8")
+
+
+def _anchors(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each text, for each of its windows, the hash of its anchor and the
+    anchor's place; many texts at a time."""
+    held: list[bytes] = []
+    size = 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size >= CHUNK:
+            yield from _anchors_of_some(held)
+            held, size = [], 0
+    yield from _anchors_of_some(held)
+
+
+def _anchors_of_some(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    data = np.frombuffer(b" ".join(texts), dtype="u1")
+    begins, hashes = _word_hashes(data)
+    offsets = np.cumsum([0, *[len(t) + 1 for t in texts]])
+    firsts = np.searchsorted(begins, offsets)
+    reach = max(0, len(hashes) - ANCHOR + 1)
     runs = np.full(reach, ANCHOR, dtype="u8")
     for step in range(ANCHOR):
         runs = (runs ^ (runs >> np.uint64(29))) * _ODD + hashes[step : step + reach]
     runs = (runs ^ (runs >> np.uint64(32))) * _ODD
-    inside = np.lib.stride_tricks.sliding_window_view(runs, WINDOW - ANCHOR + 1)
-    places = np.arange(windows) + inside.argmin(axis=1)  # the first of equal ones
-    return runs[places].view("i8"), places
+    # The smallest hash of a window; of equal ones the first: the place fills the low bits.
+    bits = np.uint64(max(1, reach).bit_length())
+    least = (runs >> bits << bits) | np.arange(reach, dtype="u8")
+    wide = 1
+    while wide < _RUNS:
+        more = min(wide, _RUNS - wide)
+        least = np.minimum(least[: max(0, len(least) - more)], least[more:])
+        wide += more
+    places = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype("i8")
+    chosen = runs[places].view("i8")
+    for start, end in zip(firsts[:-1].tolist(), firsts[1:].tolist()):
+        windows = max(0, end - start - WINDOW + 1)
+        yield chosen[start : start + windows], places[start : start + windows] - start
 
 
 def _pieces(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,11 +111,9 @@ def _anchors_of_texts(docs: DataFrame) -> DataFrame:
     """(``anchor``, ``key``, ``_id``, ``places``): each anchor of a row of ``docs``, and how often it has it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _known.claim()
         for batch in batches:
             found, often = [np.zeros(0, dtype="i8")], [np.zeros(0, dtype="i8")]
-            for text in batch.column(2).to_pylist():
-                hashes, places = _anchors(text.split())
+            for hashes, places in _anchors(batch.column(2).to_pylist()):
                 own, counts = np.unique(hashes[_pieces(places)[0]], return_counts=True)
                 found.append(own)
                 often.append(counts)
@@ -91,16 +132,15 @@ def _windows_of_texts(flagged: DataFrame) -> DataFrame:
     around those in ``hot``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _known.claim()
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, key, text, shared, hot in zip(*[batch.column(i).to_pylist() for i in range(5)]):
+            ids, keys, texts, all_shared, all_hot = (batch.column(i).to_pylist() for i in range(5))
+            for doc_id, key, text, shared, hot, (hashes, places) in zip(ids, keys, texts, all_shared, all_hot, _anchors(texts)):
                 words = text.split()
-                hashes, places = _anchors(words)
                 first, count = _pieces(places)
                 own = hashes[first]
                 wanted = np.flatnonzero(np.isin(own, np.array(shared, dtype="i8")))
-                single = np.isin(own[wanted], np.array(hot, dtype="i8"))
+                single = np.isin(own[wanted], np.array(hot, dtype="i8")) if hot else np.zeros(len(wanted), dtype=bool)
                 # Equal pieces of one text travel once, with all their places.
                 known: dict[tuple[int, bytes], list[int]] = {}
                 for i, alone in zip(wanted.tolist(), single.tolist()):
@@ -185,11 +225,14 @@ def _repeats(docs: DataFrame, copies: DataFrame) -> DataFrame:
     )
     # Written, so that the join below can split an anchor that very many texts have.
     shared = pin(shared.where("a < b").select("anchor", "n"), "anchors")
+    release_shuffles(docs.sparkSession)
     hot = F.when(F.col("n") > GROUP, F.col("anchor"))
     named = anchors.join(shared, "anchor").select("_id", "key", "anchor", hot.alias("hot"))
     named = named.join(copies, ["_id", "key"], "left_anti")
     # A text's own anchors: no more than it has words.
     flags = named.groupBy("_id", "key").agg(F.collect_set("anchor").alias("shared"), F.collect_set("hot").alias("hot"))
+    flags = pin(flags, "flags")
+    release_shuffles(docs.sparkSession)
     pieces = _windows_of_texts(docs.join(flags, ["_id", "key"]).select("_id", "key", "text", "shared", "hot"))
     schema = "_id long, key long, first long, last long"
     if shared.where(F.col("n") > GROUP).isEmpty():
@@ -258,6 +301,9 @@ def without_repeats(df: DataFrame, id_column: str = "doc_id", text_column: str =
     spans = _repeats(docs, copies).unionAll(whole)
     # Stretches of one text: no more than it has words.
     spans = spans.groupBy("_id", "key").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    # Written, so that the texts and pieces of the search leave the disks before the texts are shuffled again.
+    spans = pin(spans, "spans")
+    release_shuffles(df.sparkSession)
     joined = docs.join(spans, ["_id", "key"], "left")
     found = joined.select("_id", _kept(F.col("text"), F.col("spans")).alias("found"))
     return found.select(F.col("_id").alias("doc_id"), "found.*")
