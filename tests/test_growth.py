@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from eventloom.operators import importance
+from eventloom.operators import importance, joins, ordering
 
 
 def plan(df):
@@ -23,3 +23,15 @@ def test_sample_correlation_deals_no_rows_by_feature(spark):
     for row in found.collect():
         pairs = pdf[["sample_id", "x"]].merge(pdf[["sample_id", row["feature"]]].dropna(), on="sample_id")
         assert np.isclose(row["x_correlation"], np.corrcoef(pairs["x"], pairs[row["feature"]])[0, 1])
+
+
+def test_positions_move_rows_once(spark):
+    df = spark.range(500).selectExpr("id % 7 as g", "id as k", "id * 2.0d as x", "-id * 1.0d as y", "concat('c', id) as c")
+    placed = ordering.with_position(df, ["g"], ["k"], "at")
+    # Rows were dealt when they were sorted; the offsets come to them.
+    assert "hashpartitioning" not in plan(placed)
+    paired = joins.pair_by_order(df.select("g", "c"), df.where("k % 3 = 0").select("g", "c", "x", "y"), "g", ["c"], ["c"])
+    assert plan(paired).count("hashpartitioning") <= 2  # the pairing itself
+    got = paired.toPandas()
+    assert got.columns.tolist() == ["g", "c", "x", "y"] and len(got) == 500
+    assert got.groupby("g")["x"].nunique().tolist() == df.where("k % 3 = 0").groupBy("g").count().orderBy("g").toPandas()["count"].tolist()
