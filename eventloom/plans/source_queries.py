@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import q
 from ..operators import clusters, filters
+from ..operators.ordering import spread
 from ..session import scratch_path
 from ..sources import csv, fcs, files, runs, tables
 from ..streaming import arrivals
@@ -107,20 +108,19 @@ def s8(spark, d):
 # ---- FCS -------------------------------------------------------------------
 
 
-def _write_fcs(df: DataFrame, folder: str, datatype: str = "D") -> None:
-    """One FCS file per partition, through Arrow's file systems."""
+#: Bytes of events in a written file, at about which the next one begins.
+FILE_BYTES = 8 << 20
+
+
+def _write_fcs(df: DataFrame, folder: str, datatype: str = "D", file_bytes: int = FILE_BYTES) -> None:
+    """FCS files of bounded size, at least one per partition with rows, through Arrow's file systems."""
     names = df.columns
     width = {"D": 64, "F": 32}[datatype]
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write_file(target: str, pieces: list[bytes], size: int) -> int:
         from pyarrow import fs
-        from pyspark import TaskContext
 
-        frames = [b for b in batches if len(b)]
-        if not frames:
-            return
-        data = pd.concat(frames).to_numpy(dtype=f"<f{width // 8}").tobytes()
-        n = len(data) // (width // 8 * len(names))
+        n = size // (width // 8 * len(names))
         words = {
             "$PAR": len(names), "$TOT": n, "$DATATYPE": datatype, "$MODE": "L",
             "$BYTEORD": "1,2,3,4", "$NEXTDATA": 0,
@@ -129,18 +129,41 @@ def _write_fcs(df: DataFrame, folder: str, datatype: str = "D") -> None:
             words |= {f"$P{i}N": name.replace("|", "||"), f"$P{i}B": width, f"$P{i}R": 262144, f"$P{i}E": "0,0"}
         text = ("|" + "|".join(f"{k}|{v}" for k, v in words.items()) + "|").encode()
         start = 58 + len(text)
-        end = start + len(data) - 1
+        end = start + size - 1
         shown = (start, end) if end < 10**8 else (start, 0)
         head = "FCS3.1    " + "".join(f"{v:>8}" for v in (58, start - 1, *shown, 0, 0))
-        part = TaskContext.get().partitionId()
-        target = f"{folder}/part{part}.fcs"
         system, inner = (
             (fs.LocalFileSystem(), target) if target.startswith("/") else fs.FileSystem.from_uri(target)
         )
         system.create_dir(inner.rsplit("/", 1)[0])
         with system.open_output_stream(inner) as out:
-            out.write(head.encode() + text + data)
-        yield pd.DataFrame({"n": [n]})
+            out.write(head.encode() + text)
+            for piece in pieces:
+                out.write(piece)
+        return n
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        held, size, files, written = [], 0, 0, 0
+
+        def flush() -> int:
+            ending = f"-{files}" if files else ""
+            return write_file(f"{folder}/part{part}{ending}.fcs", held, size)
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            held.append(batch.to_numpy(dtype=f"<f{width // 8}").tobytes())
+            size += len(held[-1])
+            if size >= file_bytes:
+                written += flush()
+                held, size, files = [], 0, files + 1
+        if held:
+            written += flush()
+        if written:
+            yield pd.DataFrame({"n": [written]})
 
     df.mapInPandas(write, "n long").agg(F.sum("n")).collect()
 
@@ -152,7 +175,7 @@ def _write_fcs(df: DataFrame, folder: str, datatype: str = "D") -> None:
 def s3(spark, d):
     folder = scratch_path(spark, "fcs")
     items = table(spark, d, "lineitem").select("l_quantity", "l_extendedprice", "l_tax")
-    _write_fcs(items.repartition(4), folder)
+    _write_fcs(spread(items), folder)
     events = fcs.read_fcs(spark, folder, task_bytes=1 << 18)
     return events.groupBy("l_quantity").agg(
         F.count(F.lit(1)).alias("n"),

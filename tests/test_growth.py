@@ -2,9 +2,12 @@
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import functions as F
+import pytest
 
+from eventloom.functions.columns import draw_order
 from eventloom.operators import importance, joins, ordering
+from eventloom.plans import source_queries
+from eventloom.sources import fcs
 
 
 def plan(df):
@@ -35,3 +38,38 @@ def test_positions_move_rows_once(spark):
     got = paired.toPandas()
     assert got.columns.tolist() == ["g", "c", "x", "y"] and len(got) == 500
     assert got.groupby("g")["x"].nunique().tolist() == df.where("k % 3 = 0").groupBy("g").count().orderBy("g").toPandas()["count"].tolist()
+
+
+@pytest.mark.parametrize("samples", [2, 40])
+def test_importance_draw_is_that_of_all_rows(spark, samples):
+    """Two samples never fill the draw, so that every row is looked at; forty do at once."""
+    df = spark.range(4000).selectExpr(
+        f"concat('s', id % {samples}) as s", "concat('c', id) as c", "if(id % 5 = 0, null, id * 1.0d) as f", "1.0d as x", "id * 2.0d as y"
+    )
+    got = importance.importance_input(df, df.select("s", "c", "f"), ["f"], ["s", "c"], sample="s", cap=30, total=500)
+    own = df.where("f is not null").withColumn("o", draw_order(["s", "c"], 42)).toPandas().sort_values("o")
+    want = own.groupby("s").head(30).head(500)
+    assert sorted(r["c"] for r in got.collect()) == sorted(want["c"])
+
+
+def test_importance_draw_leaves_late_rows_where_they_are(spark, monkeypatch):
+    df = spark.range(20000).selectExpr("concat('s', id % 50) as s", "concat('c', id) as c", "id * 1.0d as f", "1.0d as x", "2.0d as y")
+    seen = []
+    real = importance.lookup_features
+    monkeypatch.setattr(importance, "lookup_features", lambda *a: seen.append(real(*a)) or seen[-1])
+    importance.importance_input(df, df.select("s", "c", "f"), ["f"], ["s", "c"], sample="s", cap=30, total=100)
+    assert [d.count() < 1000 for d in seen] == [True]
+
+
+def test_written_files_are_bounded(spark, tmp_path):
+    df = spark.range(3000).selectExpr("id * 1.0d as a", "id * 0.5d as b").repartition(2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        source_queries._write_fcs(df, str(tmp_path), file_bytes=16 * 400)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    sizes = [f.stat().st_size for f in tmp_path.glob("*.fcs")]
+    assert len(sizes) >= 6 and max(sizes) < 16 * 500 + 1000
+    back = fcs.read_fcs(spark, str(tmp_path))
+    assert back.select("sample_id", "cell_index").distinct().count() == 3000
+    assert sorted(tuple(r) for r in back.select("a", "b").collect()) == [(float(i), i / 2) for i in range(3000)]
