@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 from eventloom.functions.columns import draw_order
-from eventloom.operators import importance, joins, ordering
+from eventloom.operators import importance, joins, mixtures, ordering, passes
 from eventloom.plans import source_queries
 from eventloom.sources import fcs
 
@@ -73,3 +73,31 @@ def test_written_files_are_bounded(spark, tmp_path):
     back = fcs.read_fcs(spark, str(tmp_path))
     assert back.select("sample_id", "cell_index").distinct().count() == 3000
     assert sorted(tuple(r) for r in back.select("a", "b").collect()) == [(float(i), i / 2) for i in range(3000)]
+
+
+@pytest.mark.parametrize("dim", [1, 2, 5])
+def test_blocks_give_the_sums_of_points(dim):
+    rng = np.random.default_rng(dim)
+    x = np.round(rng.normal(size=(5000, dim)) * 6) / 2  # ties, and no rounding
+    order = passes.near_order(x)
+    assert sorted(order) == list(range(5000))
+    piece = passes.Piece(x[order])
+    for k in (1, 2, 7):
+        centres = x[rng.choice(5000, k, replace=False)]
+        centres[-1] = centres[0]  # two of one place: the first takes all
+        gaps = np.square(x[:, None] - centres).sum(axis=-1)
+        nearest = gaps.argmin(axis=1)
+        want = [gaps.min(axis=1).sum(), *np.bincount(nearest, minlength=k)]
+        got = mixtures._cluster_sums(piece, centres)
+        assert np.allclose(got[: 1 + k], want, rtol=1e-6)
+        assert np.allclose(got[1 + k :], np.concatenate([np.bincount(nearest, x[:, i], k) for i in range(dim)]))
+
+
+def test_few_points_meet_all_centres(monkeypatch):
+    """In the plane most blocks lie with one centre."""
+    x = np.random.default_rng(2).uniform(size=(50_000, 2))
+    piece, met = passes.Piece(x[passes.near_order(x)]), []
+    real = mixtures._assign
+    monkeypatch.setattr(mixtures, "_assign", lambda p, c: met.append(len(p)) or real(p, c))
+    mixtures._cluster_sums(piece, np.random.default_rng(3).uniform(size=(8, 2)))
+    assert met[0] < 20_000
