@@ -70,6 +70,37 @@ def test_blocked_graph_recall_and_copies(spark):
     assert abs(got["recall"][0] - share) < 0.03
 
 
+@pytest.mark.parametrize("metric", ["euclidean", "chebyshev"])
+def test_all_pairs_are_compared_at_any_size(spark, metric, monkeypatch):
+    monkeypatch.setattr(graph, "PIECE", 700)
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(2600, 6)) * 3)  # many equal distances
+    x[40:120] = x[40]
+    df = spark.createDataFrame([(f"p{i:04d}", v.tolist()) for i, v in enumerate(x)], "id string, vec array<double>").repartition(3)
+    got = {r["src"]: r for r in graph.nearest_neighbours(df, 6, metric=metric).collect()}
+    assert len(got) == 2600 and {r["recall"] for r in got.values()} == {1.0}
+    for i in range(0, 2600, 13):
+        gap = x[i] - x
+        d = np.abs(gap).max(axis=1) if metric == "chebyshev" else np.sqrt(np.square(gap).sum(axis=1))
+        d[i] = np.inf
+        order = np.lexsort((np.arange(2600), d))[:6]
+        assert [p["dst"] for p in got[f"p{i:04d}"]["pairs"]] == [f"p{j:04d}" for j in order]
+        assert [p["d"] for p in got[f"p{i:04d}"]["pairs"]] == pytest.approx(d[order].tolist())
+
+
+def test_audit_of_all_points_collects_none(spark, monkeypatch):
+    x = np.random.default_rng(9).normal(size=(300, 8))
+    df = spark.createDataFrame(pd.DataFrame({"src": np.arange(300), "vec": list(x)}))
+    near, dist = exact_neighbours(x, 4)
+    rows = [(i, [(float(d), int(j)) for d, j in zip(dist[i], near[i])][: 4 - i % 2]) for i in range(300)]
+    table = spark.createDataFrame(rows, "src long, pairs array<struct<d:double,dst:long>>")
+    monkeypatch.setattr(type(df), "collect", lambda self: pytest.fail("points came to the driver"))
+    found = graph.audit(df, table, 4, "euclidean", n=None)
+    monkeypatch.undo()
+    for r in found.collect():
+        assert r["recall"] == (4 - r["src"] % 2) / 4 and r["reach"] == pytest.approx(dist[r["src"], 3])
+
+
 def test_audit_counts_lost_neighbours(spark):
     x = np.random.default_rng(8).normal(size=(400, 3))
     df = spark.createDataFrame(pd.DataFrame({"src": np.arange(400), "vec": list(x)}))
