@@ -30,6 +30,29 @@ def test_passes_and_tasks_grow_the_same_trees(noisy, monkeypatch):
     assert whole[2] > 0.1
 
 
+def test_rows_of_equal_bins_travel_as_one_and_trees_take_turns(noisy, monkeypatch):
+    """What stands on the disks is bounded: one row for equal bins, and a bounded number of trees."""
+    names = ["a", "b", "c"]
+    cuts, mean, n = forest.cut_points(noisy, names, "x")
+    rows, _ = forest.binned(noisy, names, "x", cuts, mean)
+    packed, asked = [], []
+    real = forest._rests
+
+    def watched(table, arrays, small, *rest):
+        asked.append(sorted(small))
+        found = real(table, arrays, small, *rest)
+        packed.append(rest[1])
+        return found
+
+    monkeypatch.setattr(forest, "_rests", watched)
+    whole, _ = forest.fit_forest(rows, n, 3, range(3), 4, 8, 42)
+    monkeypatch.setattr(forest, "STANDING", 1)
+    turns, _ = forest.fit_forest(rows, n, 3, range(3), 4, 8, 42)
+    assert asked == [[0, 1, 2, 3], [0], [1], [2], [3]] and set(packed) == {packed[0]}
+    assert packed[0] <= 32 * 9 * 2 < n
+    assert np.array_equal(whole, turns)
+
+
 def test_grown_tree_follows_its_rows():
     rng = np.random.default_rng(1)
     codes, y = rng.integers(0, 32, (2, 500)).astype("u1"), rng.normal(size=500)
